@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, line_dedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_bpe": bpe.op4_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {
