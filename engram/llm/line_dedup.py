@@ -59,7 +59,7 @@ class PerfectHash:
     def build(cls, h: np.ndarray) -> PerfectHash:
         n = len(h)
         nb = max(1, n // _BUCKET)
-        bucket = (h % np.uint64(nb)).astype(np.int64)
+        bucket = _slots(h, 0, nb)
         seeds, taken = np.zeros(nb, np.uint32), np.zeros(n, bool)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(nb + 1))
@@ -84,7 +84,7 @@ class PerfectHash:
         return cls(seeds, n)
 
     def slot(self, h: np.ndarray) -> np.ndarray:
-        return _slots(h, self.seeds[(h % np.uint64(len(self.seeds))).astype(np.int64)], self.n)
+        return _slots(h, self.seeds[_slots(h, 0, len(self.seeds))], self.n)
 
 
 class Arrays:
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stats.where(F.col("n") >= least).collect()  # fewer than HOT: their counts add up to the total at most
     hot_of = {(r.h1, r.h2): r.last for r in rows}
     hot = Arrays(*(np.array([r[i] for r in rows], np.int64) for i in range(4))).pack() if rows else b""
-    shards = max(partitions(spark), -(-(total[1] or 0) // 100_000))
+    shards = max(partitions(spark), -(-(total[1] or 0) // 50_000))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard: first its repeated lines, which become arrays, then the lines that probe them."""

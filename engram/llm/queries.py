@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, toxicity
+from . import bpe, line_dedup, minhash, toxicity
 
 QUERIES = {
+    "op10_minhash": minhash.op10_minhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
