@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash, toxicity
+from . import bpe, line_dedup, minhash, mixing, toxicity
 
 QUERIES = {
     "op10_minhash": minhash.op10_minhash,
+    "op3_mixing": mixing.op3_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
