@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_words: dict[bytes, int] = {}
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, through a memo of bounded size."""
+    if new := set(words).difference(_words):
+        if len(_words) + len(new) > 400_000:
+            _words.clear()
+            new = set(words)
+        _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node reachable. Nodes without an edge do not appear.
 

@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_map, connected_components, cut, partitions, prepare, quoted
+from .common import arrow_map, connected_components, cut, partitions, prepare, quoted, word_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS, NEIGHBOURS = 5, 0.8, 25, 4, 6
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _FIRST = -8  # the first cell of ranks is [0, 2^_FIRST), each further one as wide as all before
-_words: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,16 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, through a memo of bounded size."""
-    if new := set(words).difference(_words):
-        if len(_words) + len(new) > 1 << 20:
-            _words.clear()
-            new = set(words)
-        _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def units(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit names of a text's (shingle, occurrence): the Jaccard similarity of these sets is the weighted one.
 
