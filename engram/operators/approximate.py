@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-
-
-def unit(v):
-    n = V.norm(v)
-    return F.transform(V.doubles(v), lambda x: F.when(n == 0, 0.0).otherwise(x / F.nullif(n, F.lit(0.0))))
+from ..functions.project import nearest_centres, sign_keys, unit
 
 
 def fit_lists(vectors: DataFrame, lists: int, sample_rows: int = 50_000, seed: int = 42) -> list[list[float]]:
@@ -21,14 +16,13 @@ def fit_lists(vectors: DataFrame, lists: int, sample_rows: int = 50_000, seed: i
     n = vectors.count()
     share = min(1.0, sample_rows / max(1, n))
     some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    model = KMeans(k=lists, seed=seed, maxIter=15).fit(some.select(array_to_vector(unit(F.col("vec"))).alias("features")))
+    model = KMeans(k=lists, seed=seed, maxIter=15).fit(some.select(array_to_vector(unit(len(vectors.first().vec))("vec")).alias("features")))
     return [c.tolist() for c in model.clusterCenters()]
 
 
 def assigned(vectors: DataFrame, centres: list[list[float]], probes: int = 1) -> DataFrame:
     """vectors with `lists`: the nearest centres of each."""
-    d = F.array(*[F.struct((-V.dot_query(unit(F.col("vec")), c) + F.lit(0.5 * float(np.dot(c, c)))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    return vectors.withColumn("lists", F.transform(F.slice(F.array_sort(d), 1, probes), lambda s: s["i"]))
+    return vectors.withColumn("lists", nearest_centres(centres, probes)("vec"))
 
 
 def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 8, probes: int = 4) -> DataFrame:
@@ -41,15 +35,10 @@ def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 8
 
 def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 4, seed: int = 42) -> DataFrame:
     """(query_id, rank, id, sim): candidates share the signs of some random hyperplanes in one table at least."""
-    dim = len(vectors.first().vec)
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(6)
-
-    def keys(v):
-        return F.array(*[F.concat(F.lit(f"{t}:"), *[(V.dot_query(v, planes[t, b].tolist()) > 0).cast("int").cast("string") for b in range(bits)]) for t in range(tables)])
-
-    base = vectors.select("id", "vec", F.explode(keys(F.col("vec"))).alias("key"))
-    probe = queries.select("query_id", F.col("vec").alias("q"), F.explode(keys(F.col("vec"))).alias("key"))
-    pairs = probe.select("query_id", "key").join(base.select("id", "key"), "key").select("query_id", "id").distinct()
+    keys = sign_keys(tables, bits, len(vectors.first().vec), seed)
+    base = vectors.select("id", F.explode(keys("vec")).alias("key"))
+    probe = queries.select("query_id", F.explode(keys("vec")).alias("key"))
+    pairs = probe.join(base, "key").select("query_id", "id").distinct()
     return _best(pairs.join(vectors, "id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id"), k)
 
 

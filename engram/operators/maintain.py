@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..functions.project import sign_keys
 from ..schema import TAGS_MAX
 from .temporal import LN2, latest
 
@@ -33,19 +34,14 @@ def similar_pairs(vectors: DataFrame, similarity: float, by: tuple[str, ...] = (
 
     Equal vectors are folded to one first; the different ones of a group are blocked by the signs of a few fixed
     projections, several times over: pairs at the threshold agree in all signs of some block with near certainty."""
-    import numpy as np
-
     v = vectors.select("id", "vec", *by)
     classes = v.groupBy("vec", *by).agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
     same = classes.select(F.explode("ids").alias("b"), F.col("rep").alias("a")).where("a != b").select("a", "b", F.lit(1.0).alias("sim"))
     first = vectors.select("vec").first()
     if first is None:
         return same
-    dim, tables, bits = len(first.vec), 12, 6
-    planes = np.random.default_rng(7).standard_normal((tables, bits, dim)).round(6)
     reps = classes.select(F.col("rep").alias("id"), "vec", *by)
-    hashes = [F.concat(F.lit(f"{t}:"), *[(V.dot_query(F.col("vec"), planes[t, b].tolist()) > 0).cast("int").cast("string") for b in range(bits)]) for t in range(tables)]
-    blocked = reps.select("id", "vec", *by, F.explode(F.array(*hashes)).alias("block"))
+    blocked = reps.select("id", "vec", *by, F.explode(sign_keys(12, 6, len(first.vec), 7)("vec")).alias("block"))
     x, y = blocked.alias("x"), blocked.alias("y")
     on = [F.col("x.block") == F.col("y.block"), F.col("x.id") < F.col("y.id"), *[F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]]
     near = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(V.cosine(F.col("x.vec"), F.col("y.vec")), 9).alias("sim")).where(F.col("sim") >= similarity).distinct()

@@ -68,6 +68,10 @@ def ranked(hits: DataFrame, score: str, rank: str, limit: int = FETCH_MAX) -> Da
     return top.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), "id")))
 
 
+def _times(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def lexical(documents: DataFrame, query: str, text: str = "data") -> DataFrame:
     """(id, bm25) of documents with a term of the query. N, df and lengths are those of all documents with a term."""
     terms = X.query_terms(query)
@@ -75,7 +79,7 @@ def lexical(documents: DataFrame, query: str, text: str = "data") -> DataFrame:
     if not terms:
         return spark.createDataFrame([], "id long, bm25 double")
     t = documents.select("id", X.tokens(F.col(text)).alias("t"))
-    counted = t.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(terms)]).where("dl > 0")
+    counted = t.select("id", F.size("t").alias("dl"), *[_times("t", q).alias(f"tf{i}") for i, q in enumerate(terms)]).where("dl > 0")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # a row of statistics
     avgdl = F.col("total") / F.nullif(F.col("n"), F.lit(0))
