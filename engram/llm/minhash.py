@@ -6,16 +6,15 @@ dart names a coordinate and the earliest dart of a coordinate is kept, until all
 for a document instead of k hashes for an element. Signatures are banded; bands join different texts only, since
 copies are first folded into classes.
 
-Pairs of a bucket: every member with the bucket's centre, and each with its next neighbours in a hashed order. The
-best pair of each text is verified exactly first; of the others only those that join different components. Last,
-buckets that still hold several components compare each member outside of the largest one with all members, so
-that no link within a bucket is lost.
+Every member of a bucket is paired with the bucket's centre. The best pair of each text is verified exactly first; of
+the others only those that join different components. Buckets that then still hold several components are joined to
+clusters, and clusters are searched for links between components in blocks: a task takes two blocks of texts, counts
+their common units by a matrix product and sends on links only. So no link within a bucket is lost, and no pairs are
+listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_map, connected_components, cut, partitions, prepare, quoted, word_hashes
+from .common import arrow_map, connected_components, cut, prepare, quoted, word_hashes
 
-SHINGLE, SIMILARITY, BANDS, ROWS, NEIGHBOURS = 5, 0.8, 25, 4, 6
+SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 25, 4, 512
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _FIRST = -8  # the first cell of ranks is [0, 2^_FIRST), each further one as wide as all before
 
@@ -143,18 +142,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return arrow_map(x.select("a", "b", "ua", "ub"), check, "a long, b long")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most NEIGHBOURS apart in the same bucket, of rows sorted by bucket; a few rows are carried over."""
-    band, h, doc = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in batches:
-        old = len(doc)
-        band, h, doc = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((band, h, doc)))
-        for k in range(1, NEIGHBOURS + 1):
-            at = np.arange(max(old, k), len(doc))
-            at = at[(band[at] == band[at - k]) & (h[at] == h[at - k])]
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(doc[at], doc[at - k])), "b": pa.array(np.minimum(doc[at], doc[at - k]))})
-        band, h, doc = band[-NEIGHBOURS:], h[-NEIGHBOURS:], doc[-NEIGHBOURS:]
+def _block_links(least: float):
+    """Links between different components within a block of a cluster, or between two blocks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        block, doc, part = (table[c].to_numpy() for c in ("block", "doc", "component"))
+        sets = [np.frombuffer(u, np.uint32) for u in table["units"].to_pylist()]
+        size = np.array([len(s) for s in sets])
+        names, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(sets)), size)
+        common = times[place] > 1  # the others are in no intersection
+        place, of = np.unique(place[common], return_inverse=True)[1], of[common]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        row = np.zeros(len(sets), np.int64)
+        both, width = np.zeros((len(left), len(right)), np.float32), 4096
+        for start in range(0, int(place.max()) + 1 if len(place) else 0, width):
+            here = (place >= start) & (place < start + width)
+            m = []
+            for some in (left, right):
+                row[:] = -1
+                row[some] = np.arange(len(some))
+                at = here & (row[of] >= 0)
+                x = np.zeros((len(some), width), np.float32)
+                x[row[of[at]], place[at] - start] = 1
+                m.append(x)
+            both += m[0] @ m[1].T
+        good = both >= least * (size[left][:, None] + size[right][None, :] - both) - 1e-3
+        good &= part[left][:, None] != part[right][None, :]
+        p, q = np.nonzero(good)
+        x, y = doc[left[p]], doc[right[q]]
+        exact = [jaccard(sets[a].tobytes(), sets[b].tobytes()) >= least for a, b in zip(left[p], right[q], strict=True)]
+        return pa.table({"a": pa.array(np.maximum(x, y)[exact], pa.int64()), "b": pa.array(np.minimum(x, y)[exact], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,8 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), "doc")).alias("c")).where("size > 1").select("band", "h", "size", F.col("c.doc").alias("centre"))
     members = cut(banded.join(buckets, ["band", "h"]))
     star = members.where("doc != centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b"))
-    near = members.where("size > 2").select("band", "h", "doc", order.alias("o")).repartitionByRange(partitions(spark), "band", "h", "o").sortWithinPartitions("band", "h", "o").drop("o")
-    pairs = cut(star.unionAll(near.mapInArrow(_neighbours, "a long, b long")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    pairs = cut(star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
     asked = members.select("doc").distinct()
     sets = cut(arrow_map(pair.join(asked, "doc").select("doc", "text"), lambda b: {"doc": b.column(0), "units": pa.array([_short(units(t or "")) for t in b.column(1).to_pylist()], pa.binary())}, "doc long, units binary").dropDuplicates(["doc"]))
     # first the best pair of each text
@@ -186,15 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), parts)
     links = links.unionAll(cut(_verified(rest, sets, similarity)))
     parts = cut(connected_components(links))
-    # last, what buckets with several components have left: those outside of the largest against all
-    held = members.where(f"size > {NEIGHBOURS}").select("band", "h", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("band", "h", "doc", F.coalesce("component", "doc").alias("component"))
-    counts = held.groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("band", "h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "h", F.col("m.component").alias("main"))
-    mixed = cut(held.join(main, ["band", "h"]))
-    outside = mixed.where("component != main").select("band", "h", F.col("doc").alias("x"), F.col("component").alias("cx"))
-    left = outside.join(mixed.select("band", "h", F.col("doc").alias("y"), F.col("component").alias("cy")), ["band", "h"]).where("cx != cy")
-    left = left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(_verified(left, sets, similarity))
+    # last, what buckets with several components have left
+    held = members.where("size > 2").select("band", "h", "doc", "centre").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("band", "h", "doc", "centre", F.coalesce("component", "doc").alias("component"))
+    several = held.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band", "h")
+    mixed = cut(held.join(several, ["band", "h"]).select("doc", "centre", "component").distinct())
+    clusters = cut(connected_components(mixed.where("doc != centre"), "doc", "centre").withColumnRenamed("node", "doc"))
+    named = clusters.select("doc", F.col("component").alias("cluster"))
+    sizes = named.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.select("doc", "component").distinct().join(named, "doc").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("blocks")).cast("int"))
+    mixed = mixed.join(sets, "doc").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = mixed.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "component", "units")
+    more = cut(blocks.groupBy("cluster", "i", "j").applyInArrow(_block_links(similarity), "a long, b long").distinct())
     if not more.isEmpty():
         parts = cut(connected_components(links.unionAll(more)))
     classes = reps.select("c1", "c2", F.col("doc").alias("copy_of")).join(parts.withColumnRenamed("node", "copy_of"), "copy_of", "left")
