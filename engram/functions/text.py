@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import QUERY_TERMS, TERM_BYTES
@@ -44,6 +44,12 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(cut, lambda t: F.when(t.rlike(PART), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
 
 
+def token_rows(documents: DataFrame, text: str = "data") -> DataFrame:
+    """(id, t): each document's tokens, cut once. The generator keeps predicates and columns over t from taking the
+    tokenizer's expression into themselves, once for each use."""
+    return documents.select("id", F.explode(F.array(tokens(F.col(text)))).alias("t"))
+
+
 def query_terms(query: str) -> list[str]:
     """The first different terms of a query, by the rules of `tokens`."""
     out: list[str] = []
@@ -59,8 +65,13 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def weighted(tf: Column, idf_: Column, dl: Column, avgdl: Column) -> Column:
+    """A term's part of the score."""
+    return idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
-    return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return weighted(tf, idf(n, df), dl, avgdl)
 
 
 def any_of(low: Column, phrases) -> Column:

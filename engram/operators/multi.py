@@ -11,14 +11,14 @@ from ..schema import QUERY_TERMS
 
 def postings(documents: DataFrame, text: str = "data") -> DataFrame:
     """(id, term, tf, dl): the tokens of a document are cut once, its length rides along."""
-    t = documents.select("id", X.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    t = X.token_rows(documents, text).where(F.size("t") > 0)
     return t.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def lexical_many(documents: DataFrame, queries: DataFrame, k: int = 10, text: str = "data") -> DataFrame:
     """(query_id, rank, id, score) of queries (query_id, query): only terms that are asked for leave the scan's stage."""
     asked = queries.select("query_id", F.explode(F.slice(F.array_distinct(X.tokens(F.col("query"))), 1, QUERY_TERMS)).alias("term"))
-    t = documents.select("id", X.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    t = X.token_rows(documents, text).where(F.size("t") > 0)
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     rows = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))

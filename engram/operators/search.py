@@ -68,23 +68,22 @@ def ranked(hits: DataFrame, score: str, rank: str, limit: int = FETCH_MAX) -> Da
     return top.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), "id")))
 
 
-def _times(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
-
-
 def lexical(documents: DataFrame, query: str, text: str = "data") -> DataFrame:
     """(id, bm25) of documents with a term of the query. N, df and lengths are those of all documents with a term."""
     terms = X.query_terms(query)
     spark = documents.sparkSession
     if not terms:
         return spark.createDataFrame([], "id long, bm25 double")
-    t = documents.select("id", X.tokens(F.col(text)).alias("t"))
-    counted = t.select("id", F.size("t").alias("dl"), *[_times("t", q).alias(f"tf{i}") for i, q in enumerate(terms)]).where("dl > 0")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # a row of statistics
-    avgdl = F.col("total") / F.nullif(F.col("n"), F.lit(0))
-    score = sum((F.when(F.col(f"tf{i}") > 0, X.bm25(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), avgdl)).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
-    return hit.select("id", F.round(score, 9).alias("bm25"))
+    asked = F.array(*map(F.lit, terms))
+    t = X.token_rows(documents, text).where(F.size("t") > 0)
+    t = t.select("id", F.size("t").alias("dl"), F.explode(F.array(F.filter("t", lambda x: x.isin(terms)))).alias("hits"))
+    counted = t.select("id", "dl", F.explode(F.array(F.transform(asked, lambda q: F.size(F.filter("hits", lambda x: x == q))))).alias("tfs"))
+    df = F.array(*[F.count_if(F.col("tfs")[i] > 0) for i in range(len(terms))])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), df.alias("dfs"))
+    stats = stats.select((F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"), F.transform("dfs", lambda d: X.idf(F.col("n"), d)).alias("idfs"))
+    hit = counted.where(F.exists("tfs", lambda x: x > 0)).join(F.broadcast(stats))  # a row of statistics
+    part = F.zip_with("tfs", "idfs", lambda tf, idf: F.when(tf > 0, X.weighted(tf, idf, F.col("dl"), F.col("avgdl"))).otherwise(0.0))
+    return hit.select("id", F.round(F.aggregate(part, F.lit(0.0), lambda s, x: s + x), 9).alias("bm25"))
 
 
 def fused(semantic: DataFrame, lexical_: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LN2 = 0.6931471805599453
-_BY_ID = Window.partitionBy("id").orderBy("seq")
 
 
 def latest(versions: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def visible(versions: DataFrame, now: int, namespace: str | None = None) -> Data
 
 def history(versions: DataFrame) -> DataFrame:
     """All versions in order of appends with valid_from and valid_to (0 for the last)."""
-    return versions.withColumns({"valid_from": F.col("updated"), "valid_to": F.coalesce(F.lead("updated").over(_BY_ID), F.lit(0))})
+    return versions.withColumns({"valid_from": F.col("updated"), "valid_to": F.coalesce(F.lead("updated").over(Window.partitionBy("id").orderBy("seq")), F.lit(0))})
 
 
 def as_of(versions: DataFrame, at: int) -> DataFrame:
