@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def once(df: DataFrame, **cols) -> DataFrame:
+    """df with columns (replaced or appended) that later expressions refer to as values: a generator stands between, so
+    that the optimizer does not copy their expressions into each use."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("__once")
+    d = df.select(*[quoted(c) for c in df.columns if c not in cols], row)
+    return d.select(*[quoted(c) for c in d.columns if c != "__once"], *[F.col("__once")[n].alias(n) for n in cols])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the folder of checkpoints, read again."""
     spark = prepare(df.sparkSession)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import cut, prepare, quoted
+from .common import cut, once, prepare, quoted
 
 #: Bounds: labelled rows of the sample (expected), rounds of the classifier and of the fit, residual to stop at.
 SAMPLE_ROWS, NEWTON, STEPS, CLOSE = 20_000, 12, 25, 1e-9
@@ -115,11 +115,11 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[int, float], i
     names = ["__tokens", *[f"__{f}" for f in FEATURES]]
     at = shapes(docs.select(key.alias("__id"), F.col(quoted(text_col)).alias("__text")), "__text").select("__id", *names)
     weights = fit_domains(cut(at.join(F.broadcast(some), "__id")), domains)
-    d = shapes(d, text_col).withColumn("posteriors", posteriors(weights)).withColumn("tokens", F.col("__tokens"))
+    d = once(shapes(d, text_col), tokens=F.col("__tokens"), posteriors=posteriors(weights))
     d = d.select(*[quoted(c) for c in docs.columns if c not in ("tokens", "posteriors", "rate")], "tokens", "posteriors")
     table = cut(d.select("tokens", "posteriors").where("tokens > 0"))
     steps, _ = fit_rates(table, [share[k] for k in domains], total)
-    return d.withColumn("rate", rate(steps))
+    return once(d, rate=rate(steps))
 
 
 def _scaled(k: int, scale: float) -> list[Column]:
@@ -153,7 +153,10 @@ def fit_rates(table: DataFrame, shares: list[float], total: str) -> tuple[list[t
         on = (w > 0).cast("double")
         row = table.withColumn("w", rate(steps)).agg(*[F.sum(w * c).alias(f"t{i}") for i, c in enumerate(a)], *[F.sum(on * a[i] * a[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
         r = [row[f"t{i}"] - wanted[i] for i in range(k)]
-        residual = max(map(abs, r)) / size if size else 0.0
+        now = max(map(abs, r)) / size if size else 0.0
+        if steps and now > 0.9 * residual:  # as close as nonnegative rates come
+            break
+        residual = now
         if residual < CLOSE:
             break
         gram = [[row[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]
@@ -167,7 +170,7 @@ def resample(mixed: DataFrame, id_col: str = "doc_id", near: float = 0.05) -> Da
     count as 1, so that documents that the mixture leaves alone are never lost. tokens, posteriors and rate are dropped."""
     u = F.pmod(F.xxhash64(F.col(quoted(id_col)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(F.abs(F.col("rate") - 1) <= near, 1).otherwise(F.floor(F.col("rate") + u)).cast("int")
-    return mixed.withColumn("__n", copies).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n"))).drop("__n", "tokens", "posteriors", "rate")
+    return once(mixed, __n=copies).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n"))).drop("__n", "tokens", "posteriors", "rate")
 
 
 #: The mixture of the query: domains are the labels' quality.
