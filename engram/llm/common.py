@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files and checkpoints that nothing refers to any more, which else waits for the driver's
+    next garbage collection: iterations leave many small ones."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def once(df: DataFrame, **cols) -> DataFrame:
     """df with columns (replaced or appended) that later expressions refer to as values: a generator stands between, so
     that the optimizer does not copy their expressions into each use."""
@@ -122,7 +130,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Alternating large and small stars; minima are grouped with partial sums and joined back, so that a hub's
     edges are never gathered in one task (skewed joins are split). Each round ends in a checkpoint."""
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    sign = None
+    parts = e.count() // 100_000 + 1  # few files and tasks where there are few edges; their number does not grow much
+    e, sign = e.coalesce(parts), None
     for _ in range(rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -130,7 +139,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionAll(m.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        e = cut(small.distinct().coalesce(parts))
+        del both, least, large, m, small
+        release(e.sparkSession)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if now == sign:
             break
