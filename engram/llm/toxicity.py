@@ -24,6 +24,8 @@ from .common import add_columns, arrow_map, cut, prepare, quoted, widened
 TOKEN = re.compile(r"[^\W_]+")
 #: Bounds of the model, whatever the input: labelled rows (expected), kept tokens, characters of beginnings, prior weight, drift.
 SAMPLE_ROWS, KEPT, BEGINNINGS, WEIGHT, DRIFT = 20_000, 40_000, (4, 5, 6), 8.0, 1.5
+#: Tokens by which a text counts as longer than it is, so that a weak token does not decide a short one; a long text's tokens.
+SHORT, LONG = 50, 1000
 _MEMO = 400_000
 
 
@@ -59,10 +61,14 @@ class Model:
         return maximal_segments(scores), len(scores)
 
     def normalised(self, score: float, n: int) -> float:
-        return self.lam * score - self.log_k - math.log(max(n, 1))
+        return self.lam * score - self.log_k - math.log(n + SHORT)
 
     def largest(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        return self.normalised(max([0.0, *(s[2] for s in segments)]), n)
+        return self.evidence(max([0.0, *(s[2] for s in segments)]), n)
+
+    def evidence(self, score: float, n: int) -> float:
+        """The normalised score of a document's best segment; without a segment, that of a long clean text."""
+        return self.normalised(score, n if score > 0 else max(n, LONG))
 
     def probability(self, z: float) -> float:
         x = self.shift + self.slope * z
@@ -154,8 +160,8 @@ def calibrate(model: Model, y: np.ndarray, s: np.ndarray, n: np.ndarray, x: np.n
         model.lam = high
     clean = (y == 0) & (n > 0)
     if clean.any():
-        model.log_k = float(np.mean(model.lam * s[clean] - np.log(n[clean])) - 0.5772156649)  # mean of a Gumbel variable
-    z = np.array([model.normalised(a, b) for a, b in zip(s, n, strict=True)])
+        model.log_k = float(np.mean(model.lam * s[clean] - np.log(n[clean] + SHORT)) - 0.5772156649)  # mean of a Gumbel variable
+    z = np.array([model.evidence(a, b) for a, b in zip(s, n, strict=True)])
     a, b = 0.0, model.shift
     for _ in range(50):  # Newton steps of a logistic regression with a weak normal prior
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))

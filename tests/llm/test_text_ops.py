@@ -279,7 +279,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><p>no";<
 
 def test_html(spark):
     want = "Title & more First paragraph of the text, long enough é. Second one. After the break. one two"
-    pages = spark.createDataFrame([(1, "u", PAGE, "c"), (2, "u", None, "c"), (3, "u", "", "c"), (4, "u", "<div>" * 3000 + "Deep text that stands alone here." + "<p>x" * 50, "c"), (5, "u", "<p>Unclosed < text & more", "c")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, "u", PAGE, "c"), (2, "u", None, "c"), (3, "u", "", "c"), (4, "u", "<div>" * 3000 + "Deep text that stands alone here, long enough to be the content of a page. " * 3 + "<p>x" * 50, "c"), (5, "u", "<p>Unclosed < text & more", "c")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
     assert got[1].text == want and got[1].n_chars == len(want) and got[2].text == got[3].text == ""
     assert got[4].text.startswith("Deep text") and got[5].n_chars > 0
