@@ -1,16 +1,15 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by buckets of sign hashes.
 
-Each pass orders the different vectors of a label lexicographically by a concatenation of random sign hashes and
-compares every vector with its next WINDOW neighbours in that order; the number of passes follows from the table's
-size, so that a pair at the threshold is missed by all passes with a chance below MISS. Each vector hands on the
-first verified neighbour of a pass; the components of these pairs hold every link that was found. Within a component
-all pairs are then counted exactly in blocks, of which only sums leave a task.
+Each pass puts the different vectors of a label into buckets by a few random sign hashes; the number of passes follows
+from the table's size, so that a pair at the threshold shares a bucket in none of them with a chance below MISS, however
+dense the vectors lie. All pairs of a bucket that are not in one component yet are compared, in blocks where the bucket
+is large, and a spanning forest of the links is handed on, so that the components are those of all links that passes
+meet. Within a component all pairs are then counted exactly in blocks, of which only sums leave a task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_map, connected_components, cut, longs, partitions, prepare
+from .common import arrow_map, connected_components, cut, prepare
 from .vectors import doubles, matrix
 
-SIMILARITY, WINDOW, MISS, AT_ONCE, BLOCK, SEED = 0.98, 32, 1e-6, 6, 1024, 20
+SIMILARITY, BUCKET, MISS, AT_ONCE, BLOCK, SEED = 0.98, 16, 1e-6, 6, 1024, 20
 
-Rows = tuple[np.ndarray, np.ndarray]
+
+def bits_needed(n: int) -> int:
+    """Sign bits that leave BUCKET of n vectors in a bucket on average, if they are spread evenly."""
+    return min(62, max(1, math.ceil(math.log2(max(2, n) / BUCKET))))
 
 
 def passes_needed(n: int, similarity: float) -> int:
-    """Passes for n vectors of a label: a pass finds a pair if it agrees in the bits that leave WINDOW vectors on average."""
-    agree = 1 - math.acos(min(1.0, similarity)) / math.pi
-    bits = max(1.0, math.log2(max(2, n) / (WINDOW / 2)))
-    found = max(1e-4, agree**bits)
+    """Passes for n vectors of a label: a pass finds a pair if it agrees in the bits of a bucket."""
+    found = (1 - math.acos(min(1.0, similarity)) / math.pi) ** bits_needed(n)
     return max(4, math.ceil(math.log(MISS) / math.log(max(1e-12, 1 - found))))
 
 
@@ -38,10 +38,9 @@ def _planes(k: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, k]).standard_normal((63, dim))
 
 
-def codes(x: np.ndarray, k: int) -> np.ndarray:
-    """63 sign bits of each row in pass k as one number, the first bit highest."""
-    bits = x @ _planes(k, x.shape[1]).T > 0
-    return bits @ (1 << np.arange(62, -1, -1, dtype=np.int64))
+def codes(x: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The first sign bits of each row in pass k as one number."""
+    return (x @ _planes(k, x.shape[1])[:bits].T > 0) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _unit(packed: bytes) -> bytes | None:
@@ -57,69 +56,35 @@ def _links(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return x @ y.T >= similarity
 
 
-def _sweep(similarity: float):
-    """Over rows (pass, label, id, v) in sorted order: each row's first verified neighbour among the WINDOW before it
-    (kind 0: a, b), and the first and last rows of the partition (kind 1, to be compared across its ends)."""
-    kind = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("pass", pa.int32()), ("label", pa.string()), ("v", pa.binary()), ("part", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        ids, keys, vs, seen = [], [], [], 0
-        for b in batches:
-            old = len(ids)
-            ids += b.column(2).to_pylist()
-            keys += list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            vs += b.column(3).to_pylist()
-            pairs = []
-            for start in range(old, len(ids), 256):
-                end, low = min(start + 256, len(ids)), max(0, start - WINDOW)
-                by_size: dict[int, list[int]] = {}
-                for i in range(low, end):
-                    by_size.setdefault(len(vs[i]), []).append(i)
-                for some in by_size.values():
-                    at = np.array(some)
-                    x = matrix([vs[i] for i in some])
-                    good = _links(x, x, similarity)
-                    gap = at[:, None] - at[None, :]
-                    good &= (gap > 0) & (gap <= WINDOW) & (at[:, None] >= start)
-                    for p, q in zip(*np.nonzero(good), strict=True):
-                        if keys[some[p]] == keys[some[q]]:
-                            pairs.append((some[p], ids[some[p]], ids[some[q]]))
-            first = {i: (a, c) for i, a, c in pairs}
-            if first:
-                a, c = zip(*first.values(), strict=True)
-                yield _batch(kind, len(a), kind=[0] * len(a), a=list(map(max, a, c)), b=list(map(min, a, c)))
-            if seen < WINDOW:
-                some = range(old, min(len(ids), old + WINDOW - seen))
-                if len(some):
-                    yield _batch(kind, len(some), kind=[1] * len(some), a=[ids[i] for i in some], b=list(range(seen, seen + len(some))), **{"pass": [keys[i][0] for i in some]}, label=[keys[i][1] for i in some], v=[vs[i] for i in some], part=[part - 1] * len(some))
-            seen += len(ids) - old
-            ids, keys, vs = ids[-WINDOW:], keys[-WINDOW:], vs[-WINDOW:]
-        if ids:
-            n = len(ids)
-            yield _batch(kind, n, kind=[1] * n, a=ids, b=list(range(-n, 0)), **{"pass": [k[0] for k in keys]}, label=[k[1] for k in keys], v=vs, part=[part] * n)
-
-    return run, "kind int, a long, b long, pass int, label string, v binary, part int"
-
-
-def _batch(schema: pa.Schema, n: int, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
-
-
-def _ends(similarity: float):
-    """Links across the end of a partition: at most WINDOW rows before it and WINDOW after it, in order."""
+def _bucket_links(similarity: float):
+    """Links between different components within a block of a bucket, or between two blocks: a spanning forest of them."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        t = table.sort_by("b")
-        ids, keys, vs = t["a"].to_pylist(), list(zip(t["pass"].to_pylist(), t["label"].to_pylist(), strict=True)), t["v"].to_pylist()
-        out = []
-        for i in range(len(ids)):
-            for j in range(max(0, i - WINDOW), i):
-                if keys[i] == keys[j] and len(vs[i]) == len(vs[j]) and float(np.frombuffer(vs[i]) @ np.frombuffer(vs[j])) >= similarity:
-                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+    def run(table: pa.Table) -> pa.Table:
+        task, own, part, left, right = (table[c].to_numpy() for c in ("task", "own", "component", "left", "right"))
+        label = np.unique(table["label"].to_pylist(), return_inverse=True)[1]
+        vs = table["v"].to_pylist()
+        size = np.array([len(v) for v in vs])
+        order = np.lexsort((size, label, task))
+        new = (np.diff(task[order]) != 0) | (np.diff(label[order]) != 0) | (np.diff(size[order]) != 0)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in np.split(order, np.flatnonzero(new) + 1):
+            p, q = at[left[at]], at[right[at]]
+            if not (len(p) and len(q)):
+                continue
+            good = _links(matrix([vs[k] for k in p]), matrix([vs[k] for k in q]), similarity)
+            good &= part[p][:, None] != part[q][None, :]
+            names, of = np.unique(np.concatenate([part[p], part[q]]), return_inverse=True)
+            tree, x, y = np.arange(len(names)), of[: len(p)], of[len(p) :]
+            for r in np.flatnonzero(good.any(axis=1)):
+                to = np.flatnonzero(good[r])
+                trees, first = np.unique(tree[y[to]], return_index=True)
+                other = trees != tree[x[r]]
+                if other.any():
+                    ends = own[q[to[first[other]]]]
+                    out.append((np.full(len(ends), own[p[r]]), ends))
+                    tree[np.isin(tree, trees[other])] = tree[x[r]]
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
 
     return run
 
@@ -164,9 +129,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = cut(good.groupBy("label", "h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")).withColumn("own", F.xxhash64("label", "v")))
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     # classes are named by a hash of label and vector while the passes run, since ids may repeat
-    p, found = passes_needed(n, similarity) if n > 1 else 0, None
-    for start in range(0, p, AT_ONCE):
-        ks = list(range(start, min(p, start + AT_ONCE)))
+    p, bits, found, parts = passes_needed(n, similarity) if n > 1 else 0, bits_needed(n), None, None
+    # the first pass alone, since its components spare the others most of the pairs in dense places
+    for ks in [range(min(p, 1)), *(range(k, min(p, k + AT_ONCE)) for k in range(1, p, AT_ONCE))] if p else []:
 
         def coded(b: pa.RecordBatch, ks=ks) -> dict:
             vs = b.column(2).to_pylist()
@@ -176,20 +141,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 at = np.flatnonzero(size == s)
                 x = matrix([vs[i] for i in at])
                 for j, k in enumerate(ks):
-                    code[j, at] = codes(x, k)
-            take = np.tile(np.arange(len(vs)), len(ks))
-            return {"pass": pa.array(np.repeat(np.array(ks, np.int32), len(vs))), "label": b.column(1).take(pa.array(take)), "id": b.column(0).take(pa.array(take)), "v": b.column(2).take(pa.array(take)), "code": pa.array(code.ravel())}
-
-        rows = arrow_map(classes.select("own", "label", "v"), coded, "pass int, label string, id long, v binary, code long")
-        ordered = rows.repartitionByRange(partitions(spark), "pass", "label", "code", "id").sortWithinPartitions("pass", "label", "code", "id")
-        run, kind = _sweep(similarity)
-        swept = cut(ordered.select("pass", "label", "id", "v").mapInArrow(run, kind))
-        across = swept.where("kind = 1").groupBy("part").applyInArrow(_ends(similarity), "a long, b long")
-        both = swept.where("kind = 0").select("a", "b").unionAll(across).distinct()
-        found = both if found is None else found.unionAll(both)
+                    code[j, at] = codes(x, k, bits)
+            take = pa.array(np.tile(np.arange(len(vs)), len(ks)))
+            return {"pass": pa.array(np.repeat(np.array(ks, np.int32), len(vs))), "label": b.column(1).take(take), "own": b.column(0).take(take), "code": pa.array(code.ravel())}
+
+        rows = arrow_map(classes.select("own", "label", "v"), coded, "pass int, label string, own long, code long")
+        rows = rows.withColumn("component", F.col("own")) if parts is None else rows.join(parts.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own"))
+        rows = cut(rows)
+        key = ["pass", "label", "code"]
+        several = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+        several = several.select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        mixed = rows.join(several, key).join(classes.select("own", "v"), "own").withColumn("block", F.pmod(F.xxhash64("own", F.lit(2)), F.col("blocks")).cast("int"))
+        mixed = mixed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+        task = F.xxhash64(*key, "i", "j")
+        groups = rows.count() // (4 * BLOCK) + 1  # small buckets share a group
+        mixed = mixed.select(F.when(F.col("blocks") == 1, F.pmod(task, F.lit(groups))).otherwise(task).alias("group"), task.alias("task"), "label", "own", "component", "v", (F.col("block") == F.col("i")).alias("left"), (F.col("block") == F.col("j")).alias("right"))
+        both = cut(mixed.groupBy("group").applyInArrow(_bucket_links(similarity), "a long, b long").distinct())
+        if not both.isEmpty():
+            found = both if found is None else found.unionAll(both)
+            parts = cut(connected_components(found))
     own = classes.select("own", "label", "v", "id", "m")
-    if found is not None:
-        parts = cut(connected_components(found))
+    if parts is not None:
         inside = own.join(parts.withColumnRenamed("node", "own"), "own")
         sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")

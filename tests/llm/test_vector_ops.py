@@ -57,6 +57,20 @@ def test_near_vectors(spark, table):
     assert got[None].n_links == 0 and got[None].kept and vector_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_two_dense_groups_with_one_link(spark):
+    """i and j are just similar; all others of their groups lie next to them, on the far side."""
+    angle, rows, sizes = np.arccos(0.98) - 1e-7, [], [(150, 90), (200, 130), (170, 210)]
+    for label, (a, b) in enumerate(sizes):
+        turns = [-1e-4 * k for k in range(a)] + [angle + 1e-4 * k for k in range(b)]
+        rows += [(1000 * label + k, [float(np.cos(t)), float(np.sin(t)), 0.0], label) for k, t in enumerate(turns)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: r for r in vector_dedup.near_vectors(d).collect()}
+    for label, (a, b) in enumerate(sizes):
+        i = 1000 * label
+        assert {got[i + k].component_id for k in range(a + b)} == {i}
+        assert [got[i + k].n_links for k in (0, 1, a, a + 1)] == [a, a - 1, b, b - 1]
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, k) for k in range(101, 140)] + [(5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
