@@ -1,7 +1,7 @@
 """LM scoring with a hashed maximum-entropy model.
 
-Counts of every token of the training documents, and how often a frequent token follows each of a few groups of
-words, are gathered in one pass. The most frequent tokens fall into classes of like contexts (k-means), all others
+Counts of every token of the training documents are gathered in one pass, and how often each of the most frequent
+ones follows each of a few groups of words, over all of its occurrences, in a second. The most frequent tokens fall into classes of like contexts (k-means), all others
 into a last class. The class of the next token is predicted by a softmax over hashed features: the word before, the
 word before that (a skip), and both together; within a class a token has its share of the counts. The features'
 weights learn by distributed gradient updates: each partition takes adaptive steps over small batches of tokens
@@ -68,36 +68,29 @@ def features(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g, n): counts of tokens (g -1), and of frequent tokens after each group of words, summed over what memory holds."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """(h, n): counts of tokens, summed over what memory holds."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def out() -> None:
         if held:
-            h, g, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((g, h))
-            h, g, n = h[order], g[order], n[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-            held[:] = [(h[first], g[first], np.add.reduceat(n, first))]
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], n[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            held[:] = [(h[first], np.add.reduceat(n, first))]
 
     def sent() -> Iterator[pa.RecordBatch]:
-        for h, g, n in held:
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "g": pa.array(g), "n": pa.array(n)})
+        for h, n in held:
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n)})
         held.clear()
 
     for b in batches:
         some = texts(b.column(0))
         for i in range(0, len(some), 500):
-            h, ends = _joined(some[i : i + 500])
-            u, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-            held.append((u.copy(), np.full(len(u), -1, np.int32), n.astype(np.int64)))
-            often = n >= 24
-            at = often[inverse]
-            g = ((_before(h, ends, 1)[at] * _M) >> np.uint64(60)).astype(np.int64)
-            cell = np.bincount(inverse[at] * GROUPS + g, minlength=len(u) * GROUPS)
-            hit = np.flatnonzero(cell)
-            held.append((u[hit // GROUPS], (hit % GROUPS).astype(np.int32), cell[hit].astype(np.int64)))
-            size += len(u) + len(hit)
+            u, n = np.unique(_joined(some[i : i + 500])[0], return_counts=True)
+            held.append((u, n.astype(np.int64)))
+            size += len(u)
             if size > 2 * HELD:
                 out()
                 size = len(held[0][0])
@@ -108,6 +101,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sent()
 
 
+def _contexts(classed):
+    """(h, g, n): how often each token of a broadcast sorted array follows each group of words, summed over a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = classed.value
+        cell = np.zeros(len(names) * GROUPS, np.int64)
+        for b in batches:
+            some = texts(b.column(0))
+            for i in range(0, len(some), 500):
+                h, ends = _joined(some[i : i + 500])
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                hit = names[at] == h
+                g = ((_before(h, ends, 1)[hit] * _M) >> np.uint64(60)).astype(np.int64)
+                cell += np.bincount(at[hit] * GROUPS + g, minlength=len(cell))
+        hit = np.flatnonzero(cell)
+        for i in range(0, len(hit), HELD):
+            k = hit[i : i + HELD]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(names[k // GROUPS].view(np.int64)), "g": pa.array((k % GROUPS).astype(np.int32)), "n": pa.array(cell[k])})
+
+    return run
+
+
 def _clusters(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     """k-means over rows of log-ratios, weighted by counts; starts at rows spread by rank."""
     k = min(k, len(x))
@@ -241,8 +256,7 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model and the counts (h, n) of all training tokens, from every row of train."""
     prepare(train.sparkSession)
     text = train.select(F.col(quoted(text_col)).cast("string").alias("text"))
-    both = cut(text.mapInArrow(_count, "h long, g int, n long").groupBy("h", "g").agg(F.sum("n").alias("n")))
-    counts = both.where("g = -1").select("h", "n")
+    counts = cut(text.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     bucket = F.floor(F.log2("n") * 16).cast("int")
     sizes = sorted(counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect(), reverse=True)
     n, v = sum(s.n for s in sizes), sum(s.k for s in sizes)
@@ -259,12 +273,13 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     rows = counts.where(bucket >= most(HEAD)).toPandas()  # at most HEAD
     order = np.argsort(rows.h.to_numpy(np.int64).view(np.uint64))
     head, count = rows.h.to_numpy(np.int64).view(np.uint64)[order], rows.n.to_numpy(np.int64)[order]
-    often = counts.where(bucket >= most(CLASSED)).select("h")  # at most CLASSED, with GROUPS rows each
-    near = both.where("g >= 0").join(F.broadcast(often), "h", "left_semi").toPandas()
-    names = np.unique(near.h.to_numpy(np.int64).view(np.uint64))
+    often = counts.where(bucket >= most(CLASSED)).select("h").toPandas()  # at most CLASSED, with GROUPS rows each
+    names = np.sort(often.h.to_numpy(np.int64).view(np.uint64))
     table = np.zeros((len(names), GROUPS))
-    np.add.at(table, (np.searchsorted(names, near.h.to_numpy(np.int64).view(np.uint64)), near.g.to_numpy(int)), near.n.to_numpy(float))
     if len(names):
+        shared = train.sparkSession.sparkContext.broadcast(names)
+        near = text.mapInArrow(_contexts(shared), "h long, g int, n long").groupBy("h", "g").agg(F.sum("n").alias("n")).toPandas()
+        table[np.searchsorted(names, near.h.to_numpy(np.int64).view(np.uint64)), near.g.to_numpy(int)] = near.n.to_numpy(float)
         share = (table.sum(axis=0) + 1) / (table.sum() + GROUPS)
         ratio = np.log((table + 8 * share) / ((table.sum(axis=1) + 8)[:, None] * share))
         rank = np.argsort(-table.sum(axis=1), kind="stable")

@@ -254,6 +254,12 @@ def test_lm_probabilities_sum_to_one(spark, docs):
     assert np.allclose(inside[: m.rest], 1, atol=1e-3) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_lm_classes_come_from_all_occurrences(spark, docs):
+    """No token of these texts is frequent within a slice; all have a class, however the rows are dealt."""
+    few, many = (lm_score.fit(docs.repartition(n))[0] for n in (1, 7))
+    assert few.rest > 1 and (few.cls[:-1] < few.rest).all() and (few.cls == many.cls).all()
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(WORDS) + ("###" if i % 3 == 0 else "") for _ in range(rng.randrange(5, 80))), "c") for i in range(300)] + [(900, None, "c"), (901, "", "c")]
