@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,16 @@ BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches (long texts) and makes sure that checkpoints have a folder.
 
-    The folder comes from spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    The folder comes from spark.checkpoint.dir; a temporary one is set only where that is unset and Spark runs in one
+    process (tests). On a cluster an unset folder is an error."""
     sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    if not sc.getCheckpointDir():
+        if folder := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
+            sc.setCheckpointDir(folder)
+        elif re.match(r"local(\[[^\]]*\])?$", sc.master):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: lineage is cut in that shared folder")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -47,9 +54,10 @@ def release(spark: SparkSession) -> None:
 def once(df: DataFrame, **cols) -> DataFrame:
     """df with columns (replaced or appended) that later expressions refer to as values: a generator stands between, so
     that the optimizer does not copy their expressions into each use."""
-    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("__once")
+    name = fresh(df, "__once")
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias(name)
     d = df.select(*[quoted(c) for c in df.columns if c not in cols], row)
-    return d.select(*[quoted(c) for c in d.columns if c != "__once"], *[F.col("__once")[n].alias(n) for n in cols])
+    return d.select(*[quoted(c) for c in d.columns if c != name], *[F.col(name)[n].alias(n) for n in cols])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -77,6 +85,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        _words.clear()  # a worker outlives its task
 
     return df.mapInArrow(run, schema)
 
@@ -101,6 +110,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def widened(df: DataFrame, without: tuple[str, ...] = (), **kinds: str) -> str:
     """Schema text of df with columns replaced or appended."""
     cols = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in without} | kinds
@@ -117,33 +134,74 @@ _words: dict[bytes, int] = {}
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, through a memo of bounded size."""
     if new := set(words).difference(_words):
-        if len(_words) + len(new) > 400_000:
+        if len(_words) + len(new) > 200_000:
             _words.clear()
             new = set(words)
         _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+HOT = 2000  # a key is hot if it holds more than one in so many of all rows, so there are fewer hot keys than this
+HELD_EDGES = 1_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the components of some edges as stars; the root, the smallest node, has no row of its own."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while len(x):
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return names[child], names[root[child]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are edges; what is held of them becomes stars."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        return forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    for batch in batches:
+        held.append(tuple(batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False) for k in (2, 1)))
+        if (size := size + batch.num_rows) > HELD_EDGES:
+            held = [stars()]
+            if (size := len(held[0][0])) > HELD_EDGES // 2:
+                yield pa.RecordBatch.from_pydict({"u": pa.array(held[0][0]), "v": pa.array(held[0][1])})
+                held, size = [], 0
+    if held:
+        u, v = stars()
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable. Nodes without an edge do not appear.
 
-    Alternating large and small stars; minima are grouped with partial sums and joined back, so that a hub's
-    edges are never gathered in one task (skewed joins are split). Each round ends in a checkpoint."""
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    parts = e.count() // 100_000 + 1  # few files and tasks where there are few edges; their number does not grow much
-    e, sign = e.coalesce(parts), None
-    for _ in range(rounds):
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        large = large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionAll(m.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct().coalesce(parts))
-        del both, least, large, m, small
-        release(e.sparkSession)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == sign:
+    In each round an edge goes to the tasks of both of its ends; each task turns the edges it holds into stars. This ends
+    when nothing changes (rounds grow with the logarithm of a path's length). Nodes
+    with so many edges that they could fill a task are few: the driver looks up the parents of these only. Each round
+    ends in a checkpoint; no round is left out."""
+    e, sign = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()), None
+    spark, end = e.sparkSession, lambda k: F.struct(F.col(k).alias("k"), "u", F.when(F.lit(k) == "u", F.coalesce("above", "v")).otherwise(F.col("v")).alias("v"))
+    while True:
+        now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+        if now == sign or not now["n"]:
             break
-        sign = now
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(e.select("v", "v").distinct().toDF("node", "component"))
+        sign, n = now, now["n"]
+        often = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1000, n // HOT + 1))
+        above = {r.v: r.v for r in often.select("v").collect()}  # fewer than HOT
+        if above:  # edges to a hot node go to its own parent at once and are not gathered
+            above |= {r.u: r.m for r in e.where(F.col("u").isin(list(above))).groupBy("u").agg(F.min("v").alias("m")).collect()}
+            ends = e.join(F.broadcast(spark.createDataFrame(list(above.items()), "v long, above long")), "v", "left")
+        else:
+            ends = e.withColumn("above", F.lit(None).cast("long"))
+        both = ends.select(F.explode(F.when(F.col("above").isNull(), F.array(end("u"), end("v"))).otherwise(F.array(end("u")))).alias("e"))
+        e = cut(both.select("e.k", "e.u", "e.v").repartition(n // 100_000 + 1, "k").mapInArrow(_contracted, "u long, v long").distinct())
+        release(spark)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct().toDF("node", "component"))
