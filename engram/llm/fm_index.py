@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 32  # suffixes are ordered by so many symbols: intervals of patterns up to that length are exact
-
 
 class Bits:
     """A bit vector with rank: 64 bits a word and a count before each word."""
@@ -44,42 +42,62 @@ class WaveletMatrix:
         return self._walk(c, i) - self.first[c]
 
 
-def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each number among the different ones."""
+    order = np.argsort(key)
     k = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(np.r_[0, (k[1:] != k[:-1]).astype(np.int64)])
-    return rank, order
+    return rank
+
+
+def _after(rank: np.ndarray, places: int) -> np.ndarray:
+    """Ranks so many places further on, from 1; 0 beyond the end."""
+    out = np.zeros(len(rank), np.int64)
+    if places < len(rank):
+        out[: len(rank) - places] = rank[places:] + 1
+    return out
+
+
+def _joined(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """Numbers in the order of tuples of ranks, each at most n."""
+    key, top = parts[0], n + 1
+    for p in parts[1:]:
+        if top > (1 << 62) // (n + 2):
+            key, top = _dense(key), n + 1
+        key, top = key * (n + 2) + p, top * (n + 2)
+    return key
 
 
 class FMIndex:
-    """symbols: whole numbers below sigma, 0 for borders. window: the length whose classes of suffixes are kept."""
-
-    def __init__(self, symbols: np.ndarray, sigma: int, window: int):
-        n = len(symbols)
-        rank, order, done, by_length = _dense(symbols)[0], np.argsort(symbols, kind="stable"), 1, {}
-        by_length[1] = rank
-        while done < DEPTH:  # prefix doubling
-            after = np.full(n, -1, np.int64)
-            after[: n - done] = rank[done:] if done < n else after[: max(0, n - done)]
-            rank, order = _dense(rank * (n + 1) + after + 1)
-            done *= 2
-            by_length[done] = rank
-        self.order = order
+    """symbols: whole numbers below sigma, 0 for borders. Suffixes are ordered by window + 1 symbols, so that intervals of
+    patterns up to that length are exact. What stays is the wavelet matrix, and for the classes of suffixes that agree in
+    window symbols their borders and the least of the values of their places."""
+
+    def __init__(self, symbols: np.ndarray, sigma: int, window: int, values: np.ndarray):
+        n, ranks, size = len(symbols), {1: symbols.astype(np.int64)}, 1
+        while 3 * size <= window + 1:  # ranks of stretches of 1, 3, 9, ... symbols
+            ranks[3 * size] = _dense(_joined([_after(ranks[size], k * size) for k in range(3)], n + 1))
+            size *= 3
+
+        def stretch(length: int) -> list[np.ndarray]:
+            parts, at = [], 0
+            for s in sorted(ranks, reverse=True):
+                while length - at >= s:
+                    parts.append(_after(ranks[s], at))
+                    at += s
+            return parts
+
+        order = np.argsort(_joined(stretch(window + 1), n + 1))
         self.bwt = WaveletMatrix(symbols[order - 1], sigma)
         self.before = np.r_[0, np.cumsum(np.bincount(symbols, minlength=sigma))]
-        # classes of suffixes that agree in `window` symbols, from those of the powers of two that make it up
-        key, at = np.zeros(n, np.int64), 0
-        for size in (16, 8, 4, 2, 1):
-            if window - at >= size:
-                part = np.full(n, -1, np.int64)
-                part[: n - at] = by_length[size][at:] if at < n else part[: max(0, n - at)]
-                key = _dense(key * (n + 1) + part + 1)[0]
-                at += size
-        k = key[order]
-        self.start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])  # where each class starts
-        self.of = np.cumsum(np.r_[0, (k[1:] != k[:-1]).astype(np.int64)])  # the class of each place
+        new = np.r_[True, np.zeros(n - 1, bool)]
+        for part in stretch(window):
+            new[1:] |= np.diff(part[order]) != 0
+        self.start = np.flatnonzero(new)  # where each class starts
         self.end = np.r_[self.start[1:], n]
+        self.of = (np.cumsum(new) - 1).astype(np.int32)  # the class of each place
+        self.least = np.minimum.reduceat(values[order], self.start)
 
     def extend(self, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A step of backward search: the intervals of c followed by the patterns of the given intervals."""

@@ -71,8 +71,10 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         order = np.argsort(g, kind="stable")
         g, doc, first, n = g[order], doc[order], first[order], n[order]
-        again = np.r_[False, g[1:] == g[:-1]]
-        sure = again | np.r_[again[1:], False]
+        again = np.zeros(len(g), bool)
+        again[1:] = g[1:] == g[:-1]
+        sure = again.copy()
+        sure[:-1] |= again[1:]
         spread = g ^ ((doc.view(np.uint64) * _M + first.astype(np.uint64)) * _C)
         k = np.where(again, spread, g).view(np.int64)
         return pa.RecordBatch.from_pydict({"k": pa.array(k), "g": pa.array(g.view(np.int64)), "doc": pa.array(doc), "first": pa.array(first.astype(np.int32)), "windows": pa.array(n.astype(np.int32)), "sure": pa.array(sure)})
@@ -157,27 +159,32 @@ def _dealt(shards: int, hot: set[int]):
 
 def _covered_in(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
     """(doc, start, end) of words that covered windows of a shard's segments hold. rows: doc, first, windows, words."""
-    split = [r[3].split(b" ") for r in rows]
+    earliest: dict[bytes, tuple[int, int]] = {}
+    for d, f, _, w in rows:
+        earliest[w] = min(earliest.get(w, (d, f)), (d, f))
+    for d, f, n, w in rows:  # what equals an earlier segment is covered whole and is not indexed
+        if earliest[w] != (d, f):
+            yield d, f, f + n + WINDOW - 1
+    some = {(r[0], r[1]): r for r in rows if earliest[r[3]] == (r[0], r[1])}
+    split = [r[3].split(b" ") for r in some.values()]
     flat = [w for s in split for w in [*s, b""]]  # b"" is no word: the border
     names = {b"": 0}
     symbols = np.fromiter((names.setdefault(w, len(names)) for w in flat), np.int64, len(flat))
     length = np.array([len(s) for s in split])
     begin = np.r_[0, np.cumsum(length + 1)[:-1]]
-    doc, first, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-    index = FMIndex(symbols, len(names), WINDOW)
-    # earliest place of each class
-    of = np.repeat(np.arange(len(rows)), n)
+    doc, first, n = (np.array([r[i] for r in some.values()], np.int64) for i in range(3))
+    # windows are numbered in the order of documents and places
+    of = np.repeat(np.arange(len(split)), n)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    place = np.full(len(symbols), np.iinfo(np.int64).max)
     d, s = doc[of], first[of] + nth
     order = np.lexsort((s, d))
-    new = np.r_[True, (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])]
     mine = np.empty(len(of), np.int64)
-    mine[order] = np.cumsum(new)
+    mine[order] = np.arange(len(of))
+    place = np.full(len(symbols), np.iinfo(np.int64).max)
     place[begin[of] + nth] = mine
-    earliest = np.minimum.reduceat(place[index.order], index.start)
+    index = FMIndex(symbols, len(names), WINDOW, place)
     # backward search of all segments side by side, from their right ends
-    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(symbols), np.int64)
+    low, high = np.zeros(len(split), np.int64), np.full(len(split), len(symbols), np.int64)
     gone = np.zeros(len(of), bool)
     base = np.cumsum(n) - n
     for step in range(1, int(length.max()) + 1):
@@ -187,7 +194,7 @@ def _covered_in(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int,
             cls = index.of[low[on]]
             low[on], high[on] = index.start[cls], index.end[cls]
             at = base[on] + length[on] - step
-            gone[at] = (high[on] - low[on] > 1) & (mine[at] > earliest[cls])
+            gone[at] = mine[at] > index.least[cls]
     run = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (of[1:] != of[:-1])])
     stop = np.flatnonzero(gone & np.r_[~gone[1:] | (of[1:] != of[:-1]), True])
     yield from zip(d[run].tolist(), s[run].tolist(), (s[stop] + WINDOW).tolist(), strict=True)
@@ -221,25 +228,46 @@ def _sha(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
+def _numbered(seen: DataFrame) -> DataFrame:
+    """(doc, sha, key): a number for each document, in the order of ids, then of words. seen: doc, sha."""
+    return cut(seen.select("doc", "sha").distinct().orderBy("doc", "sha").withColumn("key", F.monotonically_increasing_id()))
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col made of the words that stay, joined by one space, and n_words, n_removed (long).
 
     Words end at ASCII white space. A word goes if a window of WINDOW words of its document that holds it also
     starts earlier: in a smaller id, or earlier in the same document. Windows are judged on the input. Null, empty and
-    short texts lose nothing. A null id is smaller than any other. Rows that repeat an id are one place: they do not
-    cover each other, and lose what any of them loses (each at the same words). Columns of docs named n_words or
-    n_removed are replaced; all others pass through; no row is lost."""
+    short texts lose nothing. A null id is smaller than any other. Rows that repeat an id (or have none) are documents of
+    their own, in the order of a hash of their words; rows with equal words too are one document that occurs twice: they
+    do not cover each other and keep the same words. Columns of docs named n_words or n_removed are replaced; all others
+    pass through, whatever their names; no row is lost."""
     spark = prepare(docs.sparkSession)
-    key = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(int(_NONE)))
-    pair = docs.select(key.alias("doc"), F.col(quoted(text_col)).cast("string").alias("text"))
+    own, cuts = common.fresh(docs, "__doc"), common.fresh(docs, "__gone")
+    base = docs.withColumn(own, F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(int(_NONE))))
+    text = F.col(quoted(text_col)).cast("string").alias("text")
 
     def whole(b: pa.RecordBatch) -> dict:
         words = [t.split() for t in texts(b.column(1))]
         return {"doc": b.column(0), "n": longs([len(w) for w in words]), "sha": pa.array([_sha(w) for w in words], pa.binary())}
 
-    seen = cut(arrow_map(pair, whole, "doc long, n long, sha binary"))
-    copies = seen.where(f"n >= {WINDOW}").groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = cut(seen.join(copies, "sha").where("doc > least").select("doc", "n").groupBy("doc").agg(F.max("n").alias("n")))
+    seen = cut(arrow_map(base.select(F.col(own).alias("doc"), text), whole, "doc long, n long, sha binary"))
+    if not seen.groupBy("doc").count().where("count > 1").isEmpty():  # ids do not tell documents apart: numbers do
+        numbered, sha = _numbered(seen), common.fresh(base, "__sha")
+
+        def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+            column = b.column(b.schema.names.index(text_col)).cast(pa.string())
+            return add_columns(b, **{sha: pa.array([_sha(t.split()) for t in texts(column)], pa.binary())})
+
+        named = numbered.select(F.col("doc").alias(own), F.col("sha").alias(sha), F.col("key").alias(cuts))
+        base = arrow_map(base, hashed, widened(base, **{sha: "binary"})).join(named, [own, sha]).drop(own, sha).withColumnRenamed(cuts, own)
+        seen = cut(seen.join(numbered, ["doc", "sha"]).select(F.col("key").alias("doc"), "n", "sha"))
+    pair = base.select(F.col(own).alias("doc"), text)
+    copies = cut(seen.where(f"n >= {WINDOW}").groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    most = (copies.agg(F.sum("k")).first()[0] or 0) // HOT + 1000
+    often = F.broadcast(copies.where(F.col("k") > most))  # fewer than HOT: their counts add up to the sum at most
+    copies = seen.join(often, "sha").unionByName(seen.join(often, "sha", "left_anti").join(copies.where(F.col("k") <= most), "sha"))
+    copies = cut(copies.where("doc > least").select("doc", "n").distinct())
     found = pair.mapInArrow(_found, "k long, g long, doc long, first int, windows int, sure boolean").repartition(partitions(spark), "k").sortWithinPartitions("k")
     found = found.mapInArrow(_again, "g long, doc long, first int, windows int").join(copies.select("doc"), "doc", "left_anti")
     found = cut(found.select("g", "doc", "first", "windows"))
@@ -247,16 +275,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = {r.g for r in found.groupBy("g").count().where(F.col("count") >= max(1000, total // HOT + 1)).select("g").collect()}  # at most HOT
     mine = found.groupBy("doc").agg(F.collect_list(F.struct("g", "first", "windows")).alias("found"))  # at most a document's windows
     flagged = written(pair.join(mine, "doc"), "flagged")
-    shards = max(partitions(spark), total * (WINDOW + 10) // SHARD_WORDS + 1)
-    dealt = flagged.select("doc", "text", "found").mapInArrow(_dealt(shards, hot), _SENT).repartition(shards, "shard").sortWithinPartitions("shard")
-    gone = dealt.mapInArrow(_searched, "doc long, start int, end int").groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("__gone"))
-    gone = gone.unionAll(copies.select("doc", F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))).alias("__gone")))
-    kept = docs.withColumn("__doc", key).join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    shards = max(partitions(spark), total * (WINDOW + 10) // SHARD_WORDS + 1)  # a task holds one at a time
+    dealt = flagged.select("doc", "text", "found").mapInArrow(_dealt(shards, hot), _SENT).repartition(partitions(spark), "shard").sortWithinPartitions("shard")
+    gone = dealt.mapInArrow(_searched, "doc long, start int, end int").groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    gone = gone.unionAll(copies.select("doc", F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))).alias(cuts)))
+    kept = base.join(gone.withColumnRenamed("doc", own), own, "left")
 
     def rebuild(b: pa.RecordBatch) -> pa.RecordBatch:
         names = b.schema.names
         out, n, lost = [], [], []
-        for text, spans in zip(texts(b.column(names.index(text_col)).cast(pa.string())), b.column(names.index("__gone")).to_pylist(), strict=True):
+        for text, spans in zip(texts(b.column(names.index(text_col)).cast(pa.string())), b.column(names.index(cuts)).to_pylist(), strict=True):
             words = text.split()
             n.append(len(words))
             if spans:
@@ -268,12 +296,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 words = [w for w, k in zip(words, stay.tolist(), strict=True) if k]
             out.append(b" ".join(words))
             lost.append(n[-1] - len(words))
-        keep = b.select([x for x in names if x not in ("__doc", "__gone")])
+        keep = b.select([x for x in names if x not in (own, cuts)])
         return add_columns(keep, **{text_col: pa.array(out, pa.binary()).cast(pa.string()), "n_words": longs(n), "n_removed": longs(lost)})
 
     return arrow_map(kept, rebuild, widened(docs, **{text_col: "string", "n_words": "bigint", "n_removed": "bigint"}))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_words, n_removed, kept_sha256. Cases are those of dedup_substrings."""
     d = dedup_substrings(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
