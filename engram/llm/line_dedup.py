@@ -49,6 +49,11 @@ def _slots(h: np.ndarray, seed: np.ndarray | int, n: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
+def _names(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit names of 128-bit keys. Different keys may share a name under one salt, but not under each."""
+    return (h1.view(np.uint64) + np.uint64(salt) * _MIX) ^ (h2.view(np.uint64) * np.uint64(2 * salt + 1))
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: a seed for each bucket sends its keys to slots of their own."""
 
@@ -88,29 +93,32 @@ class PerfectHash:
 
 
 class Arrays:
-    """Fingerprints, counts and largest documents, in the order of a perfect hash."""
+    """Fingerprints, counts and largest documents of distinct 128-bit keys, in the order of a perfect hash."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, count: np.ndarray, last: np.ndarray):
-        self.hash = PerfectHash.build(h1.view(np.uint64))
-        at = self.hash.slot(h1.view(np.uint64))
+        self.salt = 0
+        while len(np.unique(names := _names(h1, h2, self.salt))) < len(h1):  # two keys share a name: it takes another salt
+            self.salt += 1
+        self.hash = PerfectHash.build(names)
+        at = self.hash.slot(names)
         self.print, self.count, self.last = (np.empty(len(h1), x.dtype) for x in (h2, count, last))
-        self.print[at], self.count[at], self.last[at] = h2, count, last
+        self.print[at], self.count[at], self.last[at] = h1 ^ (h2 << 1), count, last
 
     def pack(self) -> bytes:
-        return b"".join([np.array([self.hash.n, len(self.hash.seeds)], np.int64).tobytes(), self.print.tobytes(), self.count.tobytes(), self.last.tobytes(), self.hash.seeds.tobytes()])
+        return b"".join([np.array([self.hash.n, len(self.hash.seeds), self.salt], np.int64).tobytes(), self.print.tobytes(), self.count.tobytes(), self.last.tobytes(), self.hash.seeds.tobytes()])
 
     @classmethod
     def unpack(cls, data: bytes) -> Arrays:
-        n, nb = np.frombuffer(data, np.int64, 2)
+        n, nb, salt = np.frombuffer(data, np.int64, 3)
         self = cls.__new__(cls)
-        self.print, self.count, self.last = (np.frombuffer(data, np.int64, n, 16 + 8 * n * k) for k in range(3))
-        self.hash = PerfectHash(np.frombuffer(data, np.uint32, nb, 16 + 24 * n), int(n))
+        self.print, self.count, self.last = (np.frombuffer(data, np.int64, n, 24 + 8 * n * k) for k in range(3))
+        self.hash, self.salt = PerfectHash(np.frombuffer(data, np.uint32, nb, 24 + 24 * n), int(n)), int(salt)
         return self
 
     def dropped(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """True where a line is in the arrays and the document is not its largest."""
-        at = self.hash.slot(h1.view(np.uint64))
-        return (self.print[at] == h2) & (self.last[at] != doc)
+        at = self.hash.slot(_names(h1, h2, self.salt))
+        return (self.print[at] == h1 ^ (h2 << 1)) & (self.last[at] != doc)
 
 
 _NONE = np.iinfo(np.int64).min  # stands for a null id: smaller than any other
@@ -137,9 +145,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are split at \n. A key of at least min_chars code points that at least min_docs rows hold loses all its
     lines but those in the largest id that holds it. Null and empty texts are one empty line (the text becomes
     empty). Every row is a document: rows that repeat an id count each, and are all kept as the largest. A null id
-    is smaller than any other. Columns of docs named n_lines or n_dropped are replaced; all others pass through.
+    is smaller than any other. Columns of docs named n_lines or n_dropped are replaced; all others pass through,
+    whatever their names.
     No row is lost: a document may become empty."""
     spark = prepare(docs.sparkSession)
+    own, cuts = common.fresh(docs, "__doc"), common.fresh(docs, "__gone")
     pair = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).cast("string").alias("text"))
     lines = arrow_map(pair, lambda b: dict(zip(("h1", "h2", "doc"), map(pa.array, _lines(b, min_chars)), strict=True)), "h1 long, h2 long, doc long")
     stats = cut(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs))
@@ -148,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stats.where(F.col("n") >= least).collect()  # fewer than HOT: their counts add up to the total at most
     hot_of = {(r.h1, r.h2): r.last for r in rows}
     hot = Arrays(*(np.array([r[i] for r in rows], np.int64) for i in range(4))).pack() if rows else b""
-    shards = max(partitions(spark), -(-(total[1] or 0) // 50_000))
+    shards = max(partitions(spark), -(-(total[1] or 0) // 50_000))  # a task holds the arrays of one at a time
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard: first its repeated lines, which become arrays, then the lines that probe them."""
@@ -168,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if arrays is None:
                     arrays, held = Arrays(*map(np.concatenate, zip(*held, strict=True))), []
                 if (gone := arrays.dropped(h1[k:j], h2[k:j], doc[k:j])).any():
-                    yield pa.RecordBatch.from_pydict({"__doc": pa.array(doc[k:j][gone]), "__h1": pa.array(h1[k:j][gone])})
+                    yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[k:j][gone]), "h1": pa.array(h1[k:j][gone])})
 
     spread = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
     arrays = stats.where(F.col("n") < least).select(spread, "h1", "h2", F.col("last").alias("doc"), "n")
@@ -182,15 +192,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hot_first = np.array([k[0] for k in hot_of], np.int64)
     probes = arrow_map(pair, probing, "h1 long, h2 long, doc long").select(spread, "h1", "h2", "doc", F.lit(0).cast("long").alias("n"))
-    dealt = arrays.unionAll(probes).repartition(shards, "shard").sortWithinPartitions("shard", F.col("n") == 0)
-    gone = dealt.mapInArrow(build, "__doc long, __h1 long").groupBy("__doc").agg(F.collect_set("__h1").alias("__gone"))  # at most the lines of a document
-    kept = docs.withColumn("__doc", F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(int(_NONE)))).join(gone, "__doc", "left")
+    dealt = arrays.unionAll(probes).repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("n") == 0)
+    gone = dealt.mapInArrow(build, "doc long, h1 long").groupBy(F.col("doc").alias(own)).agg(F.collect_set("h1").alias(cuts))  # at most the lines of a document
+    kept = docs.withColumn(own, F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(int(_NONE)))).join(gone, own, "left")
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
         column = lambda n: batch.column(names.index(n))
         at, out, n_lines, n_dropped = Arrays.unpack(hot) if hot else None, [], [], []
-        for doc, text, lost in zip(_ids(column("__doc")).tolist(), texts(column(text_col).cast(pa.string())), column("__gone").to_pylist(), strict=True):
+        for doc, text, lost in zip(_ids(column(own)).tolist(), texts(column(text_col).cast(pa.string())), column(cuts).to_pylist(), strict=True):
             lines, lost = keys(text, min_chars), set(lost or ())
             if at is not None or lost:
                 h = np.frombuffer(b"".join(digest(k) for _, k in lines), np.int64).reshape(-1, 2)
@@ -205,13 +215,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(b"\n".join(stay))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(stay))
-        keep = [n for n in names if n not in ("__doc", "__gone")]
+        keep = [n for n in names if n not in (own, cuts)]
         return add_columns(batch.select(keep), **{text_col: pa.array(out, pa.binary()).cast(pa.string()), "n_lines": longs(n_lines), "n_dropped": longs(n_dropped)})
 
     return arrow_map(kept, rebuild, widened(docs, **{text_col: "string", "n_lines": "bigint", "n_dropped": "bigint"}))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_lines, n_dropped, kept_sha256. Cases are those of dedup_lines."""
     d = dedup_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
