@@ -77,38 +77,94 @@ def test_perfect_hash():
         assert sorted(p.slot(h).tolist()) == list(range(n))
 
 
-def test_fm_index():
-    rng = np.random.default_rng(3)
-    s = rng.integers(1, 6, 600)
-    s[::97] = 0
-    f = FMIndex(s, 6, 5)
-    for p in [s[i : i + 5] for i in range(0, 590, 7)]:
-        low, high = np.array([0]), np.array([len(s)])
-        for c in p[::-1]:
-            low, high = f.extend(np.array([c]), low, high)
-        want = sorted(i for i in range(len(s) - 4) if (s[i : i + 5] == p).all())
-        assert sorted(f.order[low[0] : high[0]].tolist()) == want
+def test_arrays_of_keys_that_share_a_half():
+    """Keys whose first, second or combined halves are equal still get slots of their own."""
+    rng = np.random.default_rng(2)
+    h1, h2 = rng.integers(-(2**62), 2**62, (2, 300))
+    h1[1], h2[3] = h1[0], h2[2]
+    h1[5], h2[5] = h2[4], h1[4]  # one name under salt 0
+    n, last = np.full(300, 3), np.arange(300)
+    a = line_dedup.Arrays.unpack(line_dedup.Arrays(h1, h2, n, last).pack())
+    assert a.salt > 0 and not a.dropped(h1, h2, last).any() and a.dropped(h1, h2, last + 1).all()
+    assert not a.dropped(h1 + 1, h2, last + 1).any()
 
 
-def test_substring_dedup(spark, docs):
-    rows, seen = texts(), set()
-    got = by_id(substring_dedup.dedup_substrings(docs))
-    for i, t in enumerate(rows):
-        words = (t or "").split()
+def test_line_dedup_names(spark):
+    line = "a line of twenty characters and more"
+    d = spark.createDataFrame([(i, f"{line}\nown {i}", "c", "d") for i in range(4)], "doc_id long, text string, __doc string, __gone string")
+    got = line_dedup.dedup_lines(d).collect()
+    assert {(r.doc_id, r.text, r["__doc"], r["__gone"]) for r in got} == {*((i, f"own {i}", "c", "d") for i in range(3)), (3, f"{line}\nown 3", "c", "d")}
+
+
+def test_fm_index():
+    rng = np.random.default_rng(3)
+    for window in (1, 5, 20):
+        s = rng.integers(1, 6, 600)
+        s[300:400] = s[100:200]
+        s[::97] = 0
+        values = rng.permutation(600)
+        f = FMIndex(s, 6, window, values)
+        for p in [s[i : i + m] for m in (1, window, window + 1) for i in range(0, 600 - m, 7)]:
+            low, high = np.array([0]), np.array([len(s)])
+            for c in p[::-1]:
+                low, high = f.extend(np.array([c]), low, high)
+            want = [i for i in range(601 - len(p)) if (s[i : i + len(p)] == p).all()]
+            assert high[0] - low[0] == len(want)
+            if len(p) == window:
+                assert f.least[f.of[low[0]]] == values[want].min() and f.start[f.of[low[0]]] == low[0] and f.end[f.of[low[0]]] == high[0]
+
+
+def shortened(rows):
+    """Brute force: rows of (id, text) in any order to (id, words that stay)."""
+    out, seen = [], {}
+    sha = lambda t: hashlib.sha256(" ".join((t or "").split()).encode()).digest()
+    order = sorted({(-1 if i is None else i, sha(t)) for i, t in rows})
+    for i, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], sha(r[1]))):
+        words, at = (t or "").split(), order.index((-1 if i is None else i, sha(t)))
         off = [False] * len(words)
         for s in range(len(words) - 19):
-            k = tuple(words[s : s + 20])
-            if k in seen:
+            if seen.setdefault(tuple(words[s : s + 20]), (at, s)) < (at, s):
                 off[s : s + 20] = [True] * 20
-            seen.add(k)
-        assert got[i].text == " ".join(w for w, g in zip(words, off, strict=True) if not g)
-        assert (got[i].n_words, got[i].n_removed, got[i].n_lines) == (len(words), sum(off), "clash")
-    assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
+        out.append((i, " ".join(w for w, g in zip(words, off, strict=True) if not g), len(words), sum(off)))
+    return sorted(out, key=str)
+
+
+def test_substring_dedup(spark, docs):
+    rows = list(enumerate(texts()))
+    got = substring_dedup.dedup_substrings(docs).collect()
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in got), key=str) == shortened(rows)
+    assert {r.n_lines for r in got} == {"clash"} and substring_dedup.dedup_substrings(empty(spark)).count() == 0
+
+
+def test_substring_dedup_ids(spark):
+    """Null and repeated ids, whole copies of one text of an id, repeated rows, names that clash."""
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(n))
+    p, q, own = some(45), some(30), [some(25) for _ in range(4)]
+    rows = [(None, f"{p} {own[0]}"), (None, f"{own[1]} {p}"), (None, own[2]), (1, q), (1, f"{own[3]} {q}"), (1, f"{own[3]} {q}"), (2, q), (2, f"{p} {own[1]} new words"), (3, None), (4, f"{p} {p}")]
+    d = spark.createDataFrame([(i, t, "c", "d") for i, t in rows], "doc_id long, text string, __doc string, __gone string").repartition(3)
+    got = substring_dedup.dedup_substrings(d).collect()
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in got), key=str) == shortened(rows)
+    assert {(r["__doc"], r["__gone"]) for r in got} == {("c", "d")}
+
+
+def test_substring_dedup_of_short_texts(spark):
+    """Tasks that hold no window at all, beside others that do."""
+    d = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text, r.n_words) for r in substring_dedup.dedup_substrings(d).collect()) == [(1, "a b", 2), (2, "c", 1), (3, "", 0)]
+    long = " ".join(WORDS)
+    rows = [(i, "short") for i in range(20)] + [(i, long) for i in range(20, 25)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartitionByRange(5, "doc_id")
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(d).collect()), key=str) == shortened(rows)
+
+
+def names_of(text):
+    return set(minhash.units(*minhash.weighted(text or "")).tolist())
 
 
 def test_minhash(spark, docs):
     rows = texts()
-    sets = [set(minhash.units(t or "").tolist()) for t in rows]
+    sets = [names_of(t) for t in rows]
     up = list(range(len(rows)))
 
     def top(i):
@@ -137,7 +193,7 @@ def test_minhash_large_group(spark):
         for _ in range(rng.choice([1, 3, 6, 9])):
             w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    sets = [set(minhash.units(t).tolist()) for _, t in rows]
+    sets = [names_of(t) for _, t in rows]
     up = list(range(len(rows)))
 
     def top(i):
@@ -154,13 +210,27 @@ def test_minhash_large_group(spark):
     assert got == {i: top(i) for i in range(len(rows))}
 
 
+def test_minhash_ids(spark):
+    """Null ids have a row each and no links; rows of one id are one document; equal texts are copies."""
+    a, b = " ".join(WORDS), " ".join(f"z{i}" for i in range(50))
+    rows = [(None, a), (None, a), (3, a), (3, b), (3, b), (9, a.upper()), (7, b + " more"), (8, "short"), (4, "SHORT"), (5, None), (6, " ")]
+    d = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, __doc string")
+    got = sorted(((r.doc, r.copy_of, r.component) for r in minhash.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(None, None, None)] * 2 + [(3, 3, 3), (9, 3, 3), (7, 7, 3), (8, 4, 4), (4, 4, 4), (5, 5, 5), (6, 6, 6)], key=str)
+    assert sorted((r.doc_id or 0, r["__doc"]) for r in minhash.drop_near_duplicates(d).collect()) == [(i, "c") for i in (0, 0, 3, 3, 3, 4, 5, 6)]
+
+
 def test_signatures_estimate_similarity():
     a = [f"w{i}" for i in range(600)]
     b = a[:570] + [f"z{i}" for i in range(30)]
-    u, v = minhash.units(" ".join(a)), minhash.units(" ".join(b))
-    s = minhash.signatures([u, v], 800)
-    true = len(np.intersect1d(u, v)) / len(np.union1d(u, v))
-    assert abs((s[0] == s[1]).mean() - true) < 0.05
+    heavy = (a[:40] * 30, a[:40] * 20 + [f"z{i}" for i in range(200)])
+    for x, y in ((a, b), heavy):
+        u, v = minhash.weighted(" ".join(x)), minhash.weighted(" ".join(y))
+        s = minhash.signatures([u, v], 1600)
+        p, q = Counter(dict(zip(*(c.tolist() for c in u), strict=True))), Counter(dict(zip(*(c.tolist() for c in v), strict=True)))
+        true = (p & q).total() / (p | q).total()
+        assert abs((s[0] == s[1]).mean() - true) < 0.04
+        assert abs(minhash.jaccard(minhash.units(*u), minhash.units(*v)) - true) < 1e-12
 
 
 @pytest.fixture(scope="module")
@@ -260,22 +330,64 @@ def test_lm_classes_come_from_all_occurrences(spark, docs):
     assert few.rest > 1 and (few.cls[:-1] < few.rest).all() and (few.cls == many.cls).all()
 
 
-def test_mixing(spark):
+def mixed_rows():
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice(WORDS) + ("###" if i % 3 == 0 else "") for _ in range(rng.randrange(5, 80))), "c") for i in range(300)] + [(900, None, "c"), (901, "", "c")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, rate string")
-    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(200)] + [(3, 7), (4, None)], "doc_id long, domain int")
+    rows = [(i, " ".join(rng.choice(WORDS) + ("###" if i % 3 == 0 else "") for _ in range(rng.randrange(5, 80))), "c") for i in range(300)] + [(900, None, "c"), (901, "", "c"), (902, "w1 " * 20_000, "c"), (7, "w2 w3", "c"), (7, "w2 w3", "c"), (None, "w5 w6", "c")]
+    return rows, [(i, 0 if i % 3 == 0 else 1) for i in range(200)] + [(3, 7), (4, None)]
+
+
+def totals(m):
+    return m.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("posteriors")[k]).alias(f"t{k}") for k in range(2)], F.min("rate").alias("low"), F.sum("tokens").alias("n")).first()
+
+
+def test_mixing(spark):
+    rows, labels = mixed_rows()
+    d = spark.createDataFrame([(*r, 7.0, 8.0) for r in rows], "doc_id long, text string, rate string, __chars double, __mtokens double")
+    labels = spark.createDataFrame(labels, "doc_id long, domain int")
     m = mixing.mix_sources(d, labels, {0: 0.2, 1: 0.8})
-    r = m.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("posteriors")[k]).alias(f"t{k}") for k in range(2)], F.min("rate").alias("low"), F.sum("tokens").alias("n")).first()
-    assert abs(r.t0 / r.n - 0.2) < 1e-6 and abs(r.t1 / r.n - 0.8) < 1e-6 and r.low >= 0
+    r = totals(m)
+    assert abs(r.t0 / r.n - 0.2) < 1e-6 and abs(r.t1 / r.n - 0.8) < 1e-6 and r.low >= 0 and m.count() == len(rows)
     got = by_id(m)
-    assert got[900].rate == 1.0 and got[901].tokens == 0 and got[3].posteriors[0] > 0.9
-    least = mixing.mix_sources(d, labels, {0: 0.2, 1: 0.8}, total="least")
-    kept = mixing.resample(least.drop("x")).groupBy("doc_id").count().collect()
-    assert {r.doc_id for r in kept} >= {i for i in range(300) if i % 3} | {900, 901} and max(r["count"] for r in kept) == 1
+    assert got[900].rate == got[901].rate == 1.0 and got[901].tokens == 0 and got[3].posteriors[0] > 0.9 and got[902].tokens == 20_000
+    assert {(x["__chars"], x["__mtokens"]) for x in got.values()} == {(7.0, 8.0)}
+    least = mixing.mix_sources(d.where("doc_id < 902"), labels, {0: 0.2, 1: 0.8}, total="least", most=1.0)
+    kept = mixing.resample(least).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in kept} >= {i for i in range(300) if i % 3} | {900, 901} and max(r["count"] for r in kept if r.doc_id != 7) == 1
+    r = totals(least)
+    assert abs(r.t0 / (r.t0 + r.t1) - 0.2) < 2e-3 and least.where("rate > 1 or posteriors[1] > 0.5 and rate < 1").count() == 0
     assert mixing.mix_sources(d.limit(0), labels, {0: 1.0, 1: 1.0}).count() == 0
 
 
+def test_mixing_of_words_alone(spark):
+    """Domains of equal shape that differ in words: posteriors of rows without a label."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("ab", "cd", "ef", "gh", "ij") if rng.random() < (0.7 if i % 2 else 0.3) else ("ba", "dc", "fe", "hg", "ji")) + str(rng.randrange(40)) for _ in range(60))) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = by_id(mixing.mix_sources(d, spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, domain int"), {0: 1, 1: 1}))
+    assert sum((m[i].posteriors[1] > 0.5) == (i % 2 == 1) for i in range(600, 900)) >= 285
+
+
+def test_rates_against_nonnegative_least_squares(spark):
+    """Totals of the fit are those of the optimum, also where targets cannot be reached: it lies on the cone of the rows."""
+    rng = np.random.default_rng(5)
+    for k, share, most in ((2, (1.0, 0.0), None), (3, (0.3, 0.3, 0.4), None), (2, (0.2, 0.8), 1.0), (3, (0.5, 0.3, 0.0), 2.0)):
+        p = rng.dirichlet([3.0] * k, 200)
+        tokens = rng.integers(1, 400, 200)
+        a, t = p * tokens[:, None], np.array(share) * tokens.sum()
+        w = np.ones(200)  # brute force: coordinate descent
+        r = a.T @ w - t
+        for _ in range(4000):
+            for i in range(200):
+                new = min(most or np.inf, max(0.0, w[i] - a[i] @ r / (a[i] @ a[i])))
+                r += a[i] * (new - w[i])
+                w[i] = new
+        table = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "tokens long, posteriors array<double>")
+        steps, residual = mixing.fit_rates(table, t.tolist(), most)
+        got = np.array([x.w for x in table.withColumn("w", mixing.rate(steps, most)).collect()])
+        assert got.min() >= 0 and got.max() <= (most or np.inf) and abs(np.linalg.norm(a.T @ got - t) - np.linalg.norm(r)) < 1e-4 * tokens.sum()
+        assert abs(residual - np.abs(a.T @ got - t).max() / t.sum()) < 1e-6
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><p>no";</script></head><body class="page"><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <header id="top"><h1>Site</h1></header><div class="cookie-notice">We use cookies, please accept all of them today.</div><main><article><h1>Title &amp; more</h1>
 <p>First <b>para</b>graph of the text,
