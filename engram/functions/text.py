@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,21 +47,56 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(cut, lambda t: F.when(t.rlike(PART), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
 
 
+_RUNS, _PARTS, _ASCII = re.compile("[A-Za-z0-9_\\-.:/+#\x80-\U0010ffff]+"), re.compile(r"[_\-.:/+#]+"), str.maketrans(UPPER, LOWER)
+_memo: dict[str, tuple[str, ...]] = {}
+
+
+def _of_run(run: str) -> tuple[str, ...]:
+    """A run's full term and its parts."""
+    t = run.strip("-.:/+#").translate(_ASCII)
+    size = len(t.encode("utf-8", "replace"))
+    if size > TERM_BYTES:
+        t, size = t.encode("utf-8", "replace")[:TERM_BYTES].decode("utf-8", "replace"), TERM_BYTES
+    if not t:
+        return ()
+    return (t, *(p for p in _PARTS.split(t) if 2 <= len(p.encode("utf-8", "replace")) < size)) if _PARTS.search(t) else (t,)
+
+
+def terms(text: str) -> list[str]:
+    """What `tokens` gives, for use within an Arrow batch; runs go through a memo of bounded size."""
+    out: list[str] = []
+    for run in _RUNS.findall(text):
+        if (t := _memo.get(run)) is None:
+            if len(_memo) >= 100_000:
+                _memo.clear()
+            t = _memo[run] = _of_run(run)
+        out += t
+    return out
+
+
+def bounded(documents: DataFrame) -> DataFrame:
+    """documents, with Arrow batches that long texts do not make large."""
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    return documents
+
+
 def token_rows(documents: DataFrame, text: str = "data") -> DataFrame:
-    """(id, t): each document's tokens, cut once. The generator keeps predicates and columns over t from taking the
-    tokenizer's expression into themselves, once for each use."""
-    return documents.select("id", F.explode(F.array(tokens(F.col(text)))).alias("t"))
+    """(id, t): each document's terms with repetitions, cut once in Arrow batches: the same rules as `tokens`, whose nested
+    lambdas are interpreted for each character run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [terms(t or "") for t in b.column(1).to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "t": pa.ListArray.from_arrays(offsets, pa.array([x for f in found for x in f], pa.string()))})
+
+    rows = bounded(documents).select(F.col("id").cast("long").alias("id"), F.col(text).cast("string").alias("data"))
+    return rows.mapInArrow(run, "id long, t array<string>")
 
 
 def query_terms(query: str) -> list[str]:
-    """The first different terms of a query, by the rules of `tokens`."""
-    out: list[str] = []
-    for run in re.findall("[A-Za-z0-9_\\-.:/+#\x80-\U0010ffff]+", query):
-        t = run.strip("-.:/+#").translate(str.maketrans(UPPER, LOWER)).encode()[:TERM_BYTES].decode("utf-8", "replace")
-        if t:
-            out.append(t)
-            out += [p for p in re.split(r"[_\-.:/+#]+", t) if 2 <= len(p.encode()) < len(t.encode())]
-    return list(dict.fromkeys(out))[:QUERY_TERMS]
+    """The first different terms of a query."""
+    return list(dict.fromkeys(terms(query)))[:QUERY_TERMS]
 
 
 def idf(n: Column, df: Column) -> Column:

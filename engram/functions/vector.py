@@ -18,6 +18,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def whole_dot(a: Column, b: Column) -> Column:
+    """The inner product of whole numbers as a long."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def dot_query(v: Column, q: list[float]) -> Column:
     """v . q for a literal q: straight-line generated code."""
     if len(q) > UNROLL:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..functions.project import nearest_centres, sign_keys, unit
 
+BLOCK = 512
+
 
 def fit_lists(vectors: DataFrame, lists: int, sample_rows: int = 50_000, seed: int = 42) -> list[list[float]]:
     """Centres of inverted lists, fitted on at most about sample_rows rows; every row is then assigned to one."""
@@ -42,13 +48,28 @@ def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int =
     return _best(pairs.join(vectors, "id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id"), k)
 
 
-def exact_topk(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10) -> DataFrame:
-    """(query_id, rank, id, sim) of a few literal queries, a scan for each."""
-    out = None
-    for qid, q in queries:
-        top = vectors.select(F.lit(qid).cast("long").alias("query_id"), "id", F.round(V.cosine_query(F.col("vec"), q), 9).alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, id, sim) of queries (query_id, vec): one scan for each block of BLOCK queries, which are sent with
+    it as a matrix; a batch of vectors gives on its k best for each query only."""
+    n, out = queries.count() // BLOCK + 1, None
+    parts = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query_id", "vec")).alias("q"))
+    for r in parts.toLocalIterator():
+        ids, q = np.array([x.query_id for x in r.q]), np.array([x.vec for x in r.q], float)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            size = np.sqrt((q * q).sum(axis=1))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, own = np.array(b.column(1).to_pylist(), float), b.column(0).to_numpy(zero_copy_only=False)
+                both = np.sqrt((x * x).sum(axis=1))[None, :] * size[:, None]
+                sim = np.round(np.where(both == 0, 0.0, q @ x.T / np.where(both == 0, 1, both)), 9)
+                take = [np.lexsort((own, -s))[:k] for s in sim]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, [len(t) for t in take])), "id": pa.array(np.concatenate([own[t] for t in take])), "sim": pa.array(np.concatenate([s[t] for s, t in zip(sim, take, strict=True)]))})
+
+        top = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query_id long, id long, sim double")
         out = top if out is None else out.unionAll(top)
-    return _ranked(out, k)
+    return _ranked(vectors.sparkSession.createDataFrame([], "query_id long, id long, sim double") if out is None else out, k)
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..schema import TAGS_MAX
 
 
 def sentence_rows(texts: DataFrame, *keys: str) -> DataFrame:
@@ -47,32 +50,26 @@ def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def summary_clusters(records: DataFrame, now: int, group: str = "agent_id", max_importance: float = 0.6, min_age: int = 604_800_000, least: int = 3, most: int = 20, runs: int = 20) -> DataFrame:
-    """(group, tag, ids) of disjoint clusters: tags in order, each takes the oldest records that no earlier tag took.
+    """(grp, tag, ids) of disjoint clusters: tags in order, each takes the oldest records that no earlier tag took.
 
-    Only the fields that this needs go to a group's task; a group is one namespace."""
+    Only runs * most records of a namespace can be taken, so of each tag its oldest (runs + 1) * most decide, and of the
+    tags with enough records the first runs + TAGS_MAX * runs * most: a tag is passed over only where a record of it was
+    taken. What a namespace brings together is bounded by these two, whatever its size."""
     r = records.where((F.col("type") == "episodic") & (F.col("importance") <= max_importance) & (F.lit(now) - F.col("created") >= min_age) & ~F.array_contains("tags", "summary"))
-    r = r.select(F.col(group).alias("grp"), "id", "created", "tags")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created", "id"])
-        by: dict[str, list[int]] = {}
-        for i, tags in zip(pdf.id, pdf.tags, strict=True):
-            for t in dict.fromkeys(tags):
-                by.setdefault(t, []).append(int(i))
-        placed: set[int] = set()
-        out = []
-        for t in sorted(by):
-            ids = [i for i in by[t] if i not in placed]
-            if len(ids) < least:
-                continue
-            ids = ids[:most]
-            placed.update(ids)
-            out.append((pdf.grp.iloc[0], t, ids))
-            if len(out) >= runs:
-                break
-        return pd.DataFrame(out, columns=["grp", "tag", "ids"])
-
-    return r.groupBy("grp").applyInPandas(run, "grp string, tag string, ids array<long>")
+    t = r.select(F.col(group).alias("grp"), "id", "created", F.explode(F.array_distinct("tags")).alias("tag"))
+    oldest = Window.partitionBy("grp", "tag").orderBy("created", "id")
+    t = t.withColumn("n", F.row_number().over(oldest)).where(F.col("n") <= (runs + 1) * most)
+    tags = t.groupBy("grp", "tag").agg(F.array_sort(F.collect_list(F.struct("created", "id"))).alias("m")).where(F.size("m") >= least)
+    tags = tags.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("tag"))).where(F.col("k") <= runs + TAGS_MAX * runs * most)
+    listed = tags.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("tag", F.col("m.id").alias("ids")))).alias("tags"))
+    none = F.expr("cast(array() as array<struct<tag:string,ids:array<bigint>>>)")
+
+    def next_tag(done, tag):
+        free = F.slice(F.array_except(tag["ids"], F.flatten(F.transform(done, lambda d: d["ids"]))), 1, most)
+        good = (F.size(free) >= least) & (F.size(done) < runs)
+        return F.when(good, F.concat(done, F.array(F.struct(tag["tag"].alias("tag"), free.alias("ids"))))).otherwise(done)
+
+    return listed.select("grp", F.inline(F.aggregate("tags", none, next_tag)))
 
 
 def summaries(clusters: DataFrame, records: DataFrame) -> DataFrame:
@@ -82,3 +79,37 @@ def summaries(clusters: DataFrame, records: DataFrame) -> DataFrame:
     g = x.select("grp", "tag", "pos", "id", gist.alias("g")).groupBy("grp", "tag").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "g"))).alias("m"))  # at most a cluster
     text = F.substring(F.concat(F.lit("[distilled "), F.size("m").cast("string"), F.lit(" memories] "), F.concat_ws("; ", F.col("m.g"))), 1, 400)
     return g.select("grp", "tag", text.alias("text"), F.col("m.id").alias("ids"))
+
+
+def distilled(clusters: DataFrame, records: DataFrame) -> DataFrame:
+    """(grp, tag, text, ids, tags, importance): the record that a cluster becomes. Its tags are those of its sources and
+    `summary` (the first TAGS_MAX in order), its importance their largest."""
+    x = clusters.select("grp", "tag", F.explode("ids").alias("id")).join(records.select("id", "tags", "importance"), "id")
+    tags = F.slice(F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list("tags")), F.array(F.lit("summary"))))), 1, TAGS_MAX)  # at most a cluster
+    fields = x.groupBy("grp", "tag").agg(tags.alias("tags"), F.max("importance").alias("importance"))
+    return summaries(clusters, records).join(fields, ["grp", "tag"])
+
+
+#: What a model's reply may hold besides its list.
+_FENCE = re.compile(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$")
+
+
+def parsed_reply(reply: str | None, limit: int = 12) -> list[dict]:
+    """Facts of a model's reply: a JSON list of texts or of objects with a text, alone, in a fence, or amid other words; else
+    nothing. Texts are trimmed, the first of equal ones is kept."""
+    body = _FENCE.sub("", reply or "")
+    for start, end in ((0, len(body)), (body.find("["), body.rfind("]") + 1)):
+        try:
+            found = json.loads(body[start:end]) if 0 <= start < end else None
+        except ValueError:
+            found = None
+        if isinstance(found, dict):
+            found = next((v for v in found.values() if isinstance(v, list)), None)
+        if isinstance(found, list):
+            break
+    out: dict[str, dict] = {}
+    for x in found if isinstance(found, list) else []:
+        fact = {"text": x} if isinstance(x, str) else x if isinstance(x, dict) else {}
+        if isinstance(fact.get("text"), str) and (text := fact["text"].strip()):
+            out.setdefault(text.lower(), fact | {"text": text})
+    return list(out.values())[:limit]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..schema import DEPTH_MAX, RELATIONSHIPS_MAX, EngineError
 
 
@@ -17,18 +18,13 @@ def traverse(records: DataFrame, edges: DataFrame, start: int, depth: int = 1, n
 
     records: visible images; a record that is not among them is skipped with its edges. A frontier at a time: the
     next one is the frontier's targets less what is known, cut by a checkpoint; it ends early when none are left."""
-    spark = records.sparkSession
     depth = 1 if depth < 0 else min(depth, DEPTH_MAX)
     live = records.select("id") if namespace is None else records.where(F.col("agent_id") == namespace).select("id")
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
     known = live.where(F.col("id") == start).withColumn("level", F.lit(0))
     for level in range(1, depth + 1):
         front = known.where(F.col("level") == level - 1).select(F.col("id").alias("from_id"))
         step = edges.join(front, "from_id").select(F.col("to_id").alias("id")).distinct().join(live, "id", "left_semi").join(known, "id", "left_anti")
-        step = step.withColumn("level", F.lit(level)).checkpoint(True)
+        step = cut(step.withColumn("level", F.lit(level)))
         if step.isEmpty():
             break
         known = known.unionAll(step)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import vector as V
 from ..functions.project import sign_keys
 from ..schema import TAGS_MAX
 from .temporal import LN2, latest
 
 WEEK = 604_800_000
+BLOCK, MISS = 64, 1e-4
 
 
 def retention(now: int, half_life: int, usage_weight: float) -> Column:
@@ -29,42 +33,71 @@ def forget(records: DataFrame, usage: DataFrame, now: int, type: str = "episodic
     return out.orderBy("id").limit(max_forget) if max_forget else out
 
 
-def similar_pairs(vectors: DataFrame, similarity: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, sim) of ids with a < b and cosine >= similarity, within groups of `by`.
-
-    Equal vectors are folded to one first; the different ones of a group are blocked by the signs of a few fixed
-    projections, several times over: pairs at the threshold agree in all signs of some block with near certainty."""
-    v = vectors.select("id", "vec", *by)
-    classes = v.groupBy("vec", *by).agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
-    same = classes.select(F.explode("ids").alias("b"), F.col("rep").alias("a")).where("a != b").select("a", "b", F.lit(1.0).alias("sim"))
-    first = vectors.select("vec").first()
+def members_of(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, rep, by): the smallest id with an equal vector within a group. Members are never gathered."""
+    classes = vectors.groupBy("vec", *by).agg(F.min("id").alias("rep")).withColumn("h", F.xxhash64("vec", *by))
+    on = [F.col("v.h") == F.col("c.h"), F.col("v.vec") == F.col("c.vec"), *[F.col(f"v.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]]
+    return vectors.withColumn("h", F.xxhash64("vec", *by)).alias("v").join(classes.alias("c"), on).select("v.id", "c.rep", *[f"v.{c}" for c in by])
+
+
+def near_pairs(reps: DataFrame, similarity: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, sim) of different vectors (id, vec, by) with a < b and cosine >= similarity, within groups.
+
+    Vectors are blocked by the signs of projections. A block has BLOCK of them on average, however many there are: the
+    number of signs grows with the logarithm of theirs, and that of the tables so that a pair at the threshold shares a
+    block in none of them with a chance below MISS."""
+    first, n = reps.select("vec").first(), reps.count()
     if first is None:
-        return same
-    reps = classes.select(F.col("rep").alias("id"), "vec", *by)
-    blocked = reps.select("id", "vec", *by, F.explode(sign_keys(12, 6, len(first.vec), 7)("vec")).alias("block"))
+        return reps.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim")).limit(0)
+    bits = max(4, math.ceil(math.log2(max(2, n) / BLOCK)))
+    same = (1 - math.acos(min(1.0, similarity)) / math.pi) ** bits
+    tables = 1 if same >= 1 else math.ceil(math.log(MISS) / math.log(1 - same))
+    blocked = reps.select("id", "vec", *by, F.explode(sign_keys(tables, bits, len(first.vec), 7)("vec")).alias("block"))
     x, y = blocked.alias("x"), blocked.alias("y")
     on = [F.col("x.block") == F.col("y.block"), F.col("x.id") < F.col("y.id"), *[F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]]
-    near = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(V.cosine(F.col("x.vec"), F.col("y.vec")), 9).alias("sim")).where(F.col("sim") >= similarity).distinct()
-    return same.unionAll(near)
+    near = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(V.cosine(F.col("x.vec"), F.col("y.vec")), 9).alias("sim"))
+    return near.where(F.col("sim") >= similarity).distinct()
+
+
+def _classes(vectors: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Members, and the vectors of representatives."""
+    members = cut(members_of(vectors.select("id", "vec", *by), by))
+    return members, cut(vectors.select("id", "vec", *by).join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+
+
+def similar_pairs(vectors: DataFrame, similarity: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, sim): each copy with the representative of its class (the smallest id with an equal vector), and similar
+    pairs of representatives. Other pairs follow from these."""
+    members, reps = _classes(vectors, by)
+    same = members.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    return same.unionAll(near_pairs(reps, similarity, by))
+
+
+def clusters(vectors: DataFrame, similarity: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, seed) of every vector: copies go where their representative goes."""
+    members, reps = _classes(vectors, by)
+    pairs = cut(near_pairs(reps, similarity, by))
+    seeds = stars(pairs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
+    return members.join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("seed", "rep").alias("seed"))
 
 
-def stars(pairs: DataFrame, ids: DataFrame, rounds: int = 40) -> DataFrame:
+def stars(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, seed): clusters around seeds taken in order of ids; a record of an earlier cluster seeds none. Not transitive.
 
-    A round makes seeds of all ids without a smaller open neighbour; ids next to a new seed go to the smallest."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    open_, done = ids.select("id").distinct(), None
-    for _ in range(rounds):
+    A round makes seeds of all ids without a smaller open neighbour; ids next to a new seed go to the smallest. It goes on
+    until no id is open: each round settles the smallest open id at least."""
+    both = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    open_ = cut(ids.select("id").distinct())
+    done = open_.select("id", F.col("id").alias("seed")).limit(0)
+    while not open_.isEmpty():
         edges = both.join(open_.withColumnRenamed("id", "u"), "u", "left_semi").join(open_.withColumnRenamed("id", "v"), "v", "left_semi")
         least = open_.join(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "id"), "id", "left")
         seeds = least.where(F.col("m").isNull() | (F.col("m") > F.col("id"))).select("id")
         near = edges.join(seeds.withColumnRenamed("id", "v"), "v", "left_semi").groupBy("u").agg(F.min("v").alias("seed")).withColumnRenamed("u", "id")
-        near = near.join(seeds, "id", "left_anti")
-        got = seeds.select("id", F.col("id").alias("seed")).unionAll(near.select("id", "seed")).checkpoint(True)
-        done = got if done is None else done.unionAll(got)
-        open_ = open_.join(got, "id", "left_anti").checkpoint(True)
-        if open_.isEmpty():
-            break
+        got = cut(seeds.select("id", F.col("id").alias("seed")).unionAll(near.join(seeds, "id", "left_anti").select("id", "seed")))
+        done = cut(done.unionAll(got))
+        open_ = cut(open_.join(got, "id", "left_anti"))
+        both = cut(edges.join(open_.withColumnRenamed("id", "u"), "u", "left_semi"))
     return done
 
 

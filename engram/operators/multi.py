@@ -1,27 +1,57 @@
-"""BM25 for many queries at once: postings of the queries' terms, joined on the term."""
+"""Many queries at once: BM25 by postings of their terms, and documents that hold given passages."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import QUERY_TERMS
+from .lexicon import Lexicon, counted
+
+BLOCK = 50_000
 
 
 def postings(documents: DataFrame, text: str = "data") -> DataFrame:
-    """(id, term, tf, dl): the tokens of a document are cut once, its length rides along."""
-    t = X.token_rows(documents, text).where(F.size("t") > 0)
-    return t.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(id, term, tf, dl): the terms of a document are cut and counted once."""
+    return counted(documents, text)
+
+
+def containing(documents: DataFrame, patterns: DataFrame, text: str = "data") -> DataFrame:
+    """(pattern_id, id) where a document holds a pattern (pattern_id, pattern): patterns are gathered in automata of BLOCK
+    each, and each document runs through these once; no pairs are listed but the hits."""
+    blocks = patterns.where("pattern != ''").select(F.struct("pattern_id", "pattern").alias("p"), F.pmod(F.xxhash64("pattern_id"), F.lit(patterns.count() // BLOCK + 1)).alias("block"))
+    blocks = blocks.groupBy("block").agg(F.collect_list("p").alias("patterns"))  # about BLOCK each
+    out = None
+    for r in blocks.toLocalIterator():
+
+        def run(batches: Iterator[pa.RecordBatch], some=[(p.pattern_id, p.pattern) for p in r.patterns]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            tree, ids = ahocorasick.Automaton(), {}
+            for i, p in some:
+                ids.setdefault(p, []).append(i)
+            for p, i in ids.items():
+                tree.add_word(p, i)
+            tree.make_automaton()
+            for b in batches:
+                hits = [(p, i) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in {x for _, found in tree.iter(t or "") for x in found}]
+                yield pa.RecordBatch.from_pydict({"pattern_id": pa.array([h[0] for h in hits], pa.int64()), "id": pa.array([h[1] for h in hits], pa.int64())})
+
+        found = X.bounded(documents).select(F.col("id").cast("long").alias("id"), F.col(text).cast("string").alias("data")).mapInArrow(run, "pattern_id long, id long")
+        out = found if out is None else out.unionAll(found)
+    return documents.sparkSession.createDataFrame([], "pattern_id long, id long") if out is None else out
 
 
-def lexical_many(documents: DataFrame, queries: DataFrame, k: int = 10, text: str = "data") -> DataFrame:
-    """(query_id, rank, id, score) of queries (query_id, query): only terms that are asked for leave the scan's stage."""
+def lexical_many(index: Lexicon, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, id, score) of queries (query_id, query) against a stored index: only terms that are asked for leave
+    the scan's stage."""
     asked = queries.select("query_id", F.explode(F.slice(F.array_distinct(X.tokens(F.col("query"))), 1, QUERY_TERMS)).alias("term"))
-    t = X.token_rows(documents, text).where(F.size("t") > 0)
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    rows = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    stats = index.sums().select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    tf = index.postings().join(asked.select("term").distinct(), "term", "left_semi").select("term", "id", "tf", "dl")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = tf.join(df, "term").join(F.broadcast(stats)).select("term", "id", X.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl")).alias("s"))
     scored = asked.join(part, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 9).alias("score"))

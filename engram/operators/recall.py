@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
 from ..functions.text import truncated
 
 
@@ -25,21 +24,12 @@ def suppressed(hits: DataFrame, threshold: float, group: str = "query_id") -> Da
     A threshold outside (0, 1) changes nothing; rows without a vector are kept."""
     if not 0 < threshold < 1:
         return hits
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "id"])
-        kept, rows = [], []
-        for i, v in enumerate(pdf.vec):
-            if v is not None and len(v):
-                u = np.asarray(v, float)
-                u = u / (np.sqrt((u * u).sum()) or 1.0)
-                if any(float(u @ k) >= threshold for k in kept):
-                    continue
-                kept.append(u)
-            rows.append(i)
-        return pdf.iloc[rows]
-
-    return hits.groupBy(group).applyInPandas(run, hits.schema)
+    row, cols = F.struct("rank", "id", *[c for c in hits.columns if c not in ("rank", "id", group)]), hits.columns
+    page = hits.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("page"))
+    none = F.filter("page", lambda _: F.lit(False))
+    close = lambda x: lambda k: (F.size(k["vec"]) > 0) & (V.cosine(k["vec"], x["vec"]) >= threshold)
+    add = lambda kept, x: F.when((F.coalesce(F.size(x["vec"]), F.lit(0)) > 0) & F.exists(kept, close(x)), kept).otherwise(F.concat(kept, F.array(x)))
+    return page.select(group, F.inline(F.aggregate("page", none, add))).select(*cols)
 
 
 def context(hits: DataFrame, group: str = "query_id", per_memory: int = 500, budget: int = 2000) -> DataFrame:

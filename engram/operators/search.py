@@ -1,21 +1,25 @@
 """Ranked search: exact cosine, BM25, their fusion by reciprocal ranks, and reads by filters alone.
 
 Ranks are global and come before all filters. Every list is cut to FETCH_MAX rows by TakeOrdered before it is
-numbered, so no window sorts the whole table. BM25 needs no postings: the query's terms are counted within each
-document's token array, and the corpus statistics are one aggregate over the same projection.
+numbered, so no window sorts the whole table. BM25 reads a stored index (see lexicon), or cuts every document once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import text as X
 from ..functions import vector as V
 from ..schema import FETCH_MAX, OFFSET_MAX, RRF_K, SCAN_CAP, TOP_K, TOP_K_MAX, EngineError
 from .filters import capped, record_filter
+from .lexicon import Lexicon
 from .temporal import decay
 
 
@@ -68,16 +72,29 @@ def ranked(hits: DataFrame, score: str, rank: str, limit: int = FETCH_MAX) -> Da
     return top.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), "id")))
 
 
-def lexical(documents: DataFrame, query: str, text: str = "data") -> DataFrame:
-    """(id, bm25) of documents with a term of the query. N, df and lengths are those of all documents with a term."""
+def lexical(documents: DataFrame, query: str, text: str = "data", index: Lexicon | None = None) -> DataFrame:
+    """(id, bm25) of documents with a term of the query. N, df and lengths are those of all documents with a term.
+
+    With an index only its rows of the query's terms are read. Without one, every document is cut into terms once: a row
+    of counts for each is written, from which the statistics and the scores come."""
     terms = X.query_terms(query)
-    spark = documents.sparkSession
+    if index is not None:
+        return index.search(query)
     if not terms:
-        return spark.createDataFrame([], "id long, bm25 double")
-    asked = F.array(*map(F.lit, terms))
-    t = X.token_rows(documents, text).where(F.size("t") > 0)
-    t = t.select("id", F.size("t").alias("dl"), F.explode(F.array(F.filter("t", lambda x: x.isin(terms)))).alias("hits"))
-    counted = t.select("id", "dl", F.explode(F.array(F.transform(asked, lambda q: F.size(F.filter("hits", lambda x: x == q))))).alias("tfs"))
+        return documents.sparkSession.createDataFrame([], "id long, bm25 double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, size, tfs = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if c := Counter(X.terms(t or "")):
+                    ids.append(i)
+                    size.append(c.total())
+                    tfs.append([c[q] for q in terms])
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "dl": pa.array(size, pa.int64()), "tfs": pa.array(tfs, pa.list_(pa.int64()))})
+
+    rows = X.bounded(documents).select(F.col("id").cast("long").alias("id"), F.col(text).cast("string").alias("data"))
+    counted = cut(rows.mapInArrow(run, "id long, dl long, tfs array<long>"))
     df = F.array(*[F.count_if(F.col("tfs")[i] > 0) for i in range(len(terms))])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), df.alias("dfs"))
     stats = stats.select((F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"), F.transform("dfs", lambda d: X.idf(F.col("n"), d)).alias("idfs"))
@@ -114,11 +131,11 @@ def fetch_level(fused_: DataFrame, survivors: DataFrame, want: int) -> int:
     return levels[-1]
 
 
-def search(records: DataFrame, params: SearchParams, vectors: DataFrame | None = None) -> DataFrame:
+def search(records: DataFrame, params: SearchParams, vectors: DataFrame | None = None, index: Lexicon | None = None) -> DataFrame:
     """The page of hits, best first: the record, score, and the parts of an explanation.
 
-    records: current images. vectors: (id, vec) rows, several for an id if it has several. The source is vectors and
-    text, vectors, text, or filters alone, by what params has."""
+    records: current images. vectors: (id, vec) rows, several for an id if it has several. index: the records' stored
+    postings. The source is vectors and text, vectors, text, or filters alone, by what params has."""
     p = params
     if p.embedding is not None and len(p.embedding) == 0:
         p = SearchParams(**{**p.__dict__, "embedding": None})
@@ -133,8 +150,9 @@ def search(records: DataFrame, params: SearchParams, vectors: DataFrame | None =
         s = similarities(vectors, p.embedding, best_of=True)
         sem = ranked(s if p.min_score is None else s.where(F.col("sim") >= p.min_score), "sim", "srank")
     if p.query:
-        lex = ranked(lexical(records, p.query), "bm25", "lrank")
+        lex = ranked(lexical(records, p.query, index=index), "bm25", "lrank")
     if sem is not None and lex is not None:
+        sem, lex = cut(sem), cut(lex)  # FETCH_MAX rows each: the level and the page come from the same lists
         both = fused(sem, lex)
         level = fetch_level(both, good, p.want)
         hits = fused(sem.where(F.col("srank") <= level), lex.where(F.col("lrank") <= level)).withColumn("relevance", F.col("rrf"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from ..functions.text import CODE, EPHEMERAL, SALIENCE, TAGS, query_terms
+from ..functions.text import CODE, EPHEMERAL, SALIENCE, TAGS
 from . import queries as Q
 from .views import BASE, NOW, ctes
 
@@ -72,8 +72,16 @@ sql("corpus_stats", "SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS total_len,
 sql("distinct_terms", "SELECT count(DISTINCT term) AS n FROM one", "mem", more=f"{TOK}, {ONE}")
 
 
+#: The terms of the catalogue's queries, cut by hand.
+TERMS = {
+    Q.QUERY: ["apache", "license", "version"],
+    Q.LONG_QUERY: ["the", "license", "of", "creative", "commons", "by-nc", "by", "nc", "and", "mail5.example.com", "mail5", "example", "com", "version", "2.0", "das", "einer"],
+    Q.IDENTIFIER: ["by-nc", "by", "nc", "mail5.example.com", "mail5", "example", "com"],
+}
+
+
 def _bm25(query: str, limit: int = 8192) -> str:
-    terms = query_terms(query)
+    terms = TERMS[query]
     tf = ", ".join(f"len(list_filter(toks, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
     s = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5e0) / (df{i} + 0.5e0)) * tf{i} * 2.2e0 / (tf{i} + 1.2e0 * (1 - 0.75e0 + 0.75e0 * dl / (total / n))) ELSE 0e0 END" for i in range(len(terms)))
@@ -145,7 +153,8 @@ sql("hybrid_topk", "SELECT * FROM page", "mem", "mem_vec", more=_fused(10, LIVE)
 sql("hybrid_min_score", "SELECT * FROM page", "mem", "mem_vec", more=_fused(20, LIVE, "sim >= 0.25"))
 sql("hybrid_explain", "SELECT p.id, round(CASE WHEN p.srank IS NOT NULL THEN sim END, 6) AS similarity, round(CASE WHEN p.lrank IS NOT NULL THEN bm25 END, 6) AS bm25, 1.0e0 AS weight, 1.0e0 AS recency, p.srank IS NOT NULL AS semantic, p.lrank IS NOT NULL AS lexical FROM page p LEFT JOIN sranked s ON p.id = s.id LEFT JOIN lranked l ON p.id = l.id", "mem", "mem_vec", more=_fused(10, LIVE))
 sql("hybrid_namespace_global_rank", "SELECT * FROM page", "mem", "mem_vec", more=_fused(10, f"{LIVE} AND agent_id = '{Q.LN}'"))
-sql("int8_quantized_cosine", f"SELECT id, round(scale, 9) AS scale, list_transform(a, lambda x: x) AS q, round({COS}, 6) AS score, b AS p FROM z, (SELECT a AS b FROM z WHERE id = 1) AS one".replace("list_transform(a, lambda x: x) AS q, ", "").replace(", b AS p", ""), "mem_vec",
+WHOLE = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS BIGINT) * CAST({1}[i] AS BIGINT)))"
+sql("int8_quantized_cosine", f"SELECT id, round(scale, 9) AS scale, floor(CAST({WHOLE.format('a', 'b')} AS DOUBLE) / nullif(sqrt(CAST({WHOLE.format('a', 'a')} AS DOUBLE) * CAST({WHOLE.format('b', 'b')} AS DOUBLE)), 0) * 1000000e0 + 0.5e0) / 1000000e0 AS score FROM z, (SELECT a AS b FROM z WHERE id = 1) AS one", "mem_vec",
     more="v AS (SELECT id, CAST(vec AS DOUBLE[]) AS x FROM mem_vec), m AS (SELECT id, x, list_max(list_transform(x, lambda y: abs(y))) / 127e0 AS scale FROM v), z AS (SELECT id, scale, list_transform(x, lambda y: CASE WHEN scale = 0 THEN 0e0 ELSE round(y / scale) END) AS a FROM m)")
 
 # time
@@ -191,7 +200,7 @@ for name, depth in (("traverse_depth_1", 1), ("traverse_depth_3", 3)):
     sql(name, "SELECT id, CAST(min(level) AS BIGINT) AS level FROM walk GROUP BY id", "mem", "edges", more=_walk(depth, LIVE))
 sql("traverse_namespace", "SELECT id, CAST(min(level) AS BIGINT) AS level FROM walk GROUP BY id", "mem", "edges", more=_walk(4, f"{LIVE} AND id % 3 <> 0"))
 sql("edge_kinds", "SELECT kind, count(*) AS n, count(DISTINCT from_id) AS sources FROM edges GROUP BY kind", "edges")
-sql("relate_dedup", "SELECT from_id AS id, count(*) AS n FROM (SELECT DISTINCT from_id, to_id, kind FROM edges WHERE from_id <= 50 AND from_id <> to_id AND from_id IN (SELECT id FROM mem) AND to_id IN (SELECT id FROM mem)) GROUP BY from_id", "mem", "edges")
+sql("relate_dedup", "SELECT from_id AS id, count(*) AS n FROM (SELECT DISTINCT from_id, to_id, kind FROM edges WHERE from_id <> to_id AND from_id IN (SELECT id FROM mem) AND to_id IN (SELECT id FROM mem)) GROUP BY from_id", "mem", "edges")
 
 # statistics
 sql("stats_live_tombstones", "SELECT count(*) FILTER (WHERE NOT deleted) AS live, count(*) FILTER (WHERE deleted) AS tombstones FROM last", "versions", more=LAST)
@@ -246,8 +255,8 @@ wd AS (SELECT conv_id, turn, pos, string_split_regex({TRIM.format('line')}, '\s+
 gs AS (SELECT conv_id, turn, pos, array_to_string(list_slice(w, 1, 24), ' ') AS fact FROM wd WHERE len(w) >= 4),
 ft AS (SELECT * FROM gs QUALIFY row_number() OVER (PARTITION BY conv_id, lower(fact) ORDER BY turn, pos) = 1),
 fc AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS n, fact FROM ft)""")
-sql("supersede_judge", r"SELECT n.id AS new_id, o.id AS old_id FROM n JOIN o ON starts_with(o.t, n.s) AND o.t <> n.t WHERE n.s <> ''", "mem", more=r"""x AS (SELECT id, lower(trim(substr(data, 1, 60))) AS t FROM mem),
-n AS (SELECT id, t, array_to_string(list_slice(string_split_regex(t, '\s+'), 1, 2), ' ') AS s FROM x WHERE id % 10 = 1), o AS (SELECT id, t FROM x WHERE id % 10 = 2)""")
+sql("supersede_judge", r"SELECT n.id AS new_id, o.id AS old_id FROM n JOIN o ON starts_with(o.t, n.s) AND o.t <> n.t WHERE n.s <> ''", "mem", more=r"""x AS (SELECT id, type, lower(trim(data)) AS t FROM mem),
+n AS (SELECT id, t, array_to_string(list_slice(string_split_regex(t, '\s+'), 1, 2), ' ') AS s FROM x WHERE type = 'episodic'), o AS (SELECT id, t FROM x WHERE type = 'semantic')""")
 sql("client_blend_score", "SELECT m.id, round(sim * (0.5e0 + 0.5e0 * coalesce(importance, 0.5e0)) * coalesce(confidence, 1.0e0), 4) AS score FROM mem m JOIN sims s ON m.id = s.id", "mem", "mem_vec", more=_sem())
 
 # evaluation
@@ -280,3 +289,48 @@ _rows = ", ".join(f"('{hashlib.sha256(s.encode()).hexdigest()}', {_lit(n) if n e
 TOKENS = f"tk AS (SELECT * FROM (VALUES {_rows}) AS t(token, namespace, scope))"
 sql("token_scope_filter", "SELECT token, scope, count(*) AS n FROM tk JOIN mem ON namespace IS NULL OR agent_id = namespace GROUP BY token, scope", "mem", more=TOKENS)
 sql("token_fingerprint", "SELECT substr(token, 1, 12) AS fingerprint, namespace, scope FROM tk", more=TOKENS)
+
+
+# folds over an order: recursion
+def _nearest(view: str, k: int) -> str:
+    return f"""vs AS (SELECT id, CAST(vec AS DOUBLE[]) AS a FROM {view}), qs AS (SELECT id AS query_id, a AS b FROM vs WHERE (id - 1) % 100 = 0),
+pr AS (SELECT query_id, id, a, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM (SELECT query_id, id, a, {COS} AS sim FROM vs, qs) QUALIFY rank <= {k})"""
+
+
+sql("near_dup_suppress", "SELECT f.query_id, CAST(pr.rank AS INT) AS rank, pr.id FROM (SELECT query_id, unnest(ids) AS id FROM st QUALIFY k = max(k) OVER (PARTITION BY query_id)) f JOIN pr ON pr.query_id = f.query_id AND pr.id = f.id", "mem", "dup_vec", more=f"""{_nearest("dup_vec", 40)},
+st AS (SELECT query_id, 0 AS k, CAST([] AS DOUBLE[][]) AS kept, CAST([] AS BIGINT[]) AS ids FROM qs
+  UNION ALL SELECT query_id, k + 1, CASE WHEN close THEN kept ELSE list_append(kept, a) END, CASE WHEN close THEN ids ELSE list_append(ids, id) END
+  FROM (SELECT st.*, pr.id, pr.a, len(list_filter(st.kept, lambda v: list_cosine_similarity(v, pr.a) >= 0.95e0)) > 0 AS close FROM st JOIN pr ON pr.query_id = st.query_id AND pr.rank = st.k + 1))""")
+sql("recall_context_budget", """SELECT query_id, concat('Relevant memories from past sessions:', chr(10), string_agg(line, chr(10) ORDER BY rank) FILTER (WHERE NOT gone), CASE WHEN count(*) FILTER (WHERE gone) > 0 THEN concat(chr(10), '- (+', count(*) FILTER (WHERE gone), ' more relevant memor', CASE WHEN count(*) FILTER (WHERE gone) = 1 THEN 'y' ELSE 'ies' END, ' omitted to fit the recall budget; call memory_search to see the rest)') ELSE '' END) AS context,
+  CAST(count(*) FILTER (WHERE NOT gone) AS INT) AS included FROM ln GROUP BY query_id""", "mem", "mem_vec", more=f"""{_nearest("mem_vec", 20)},
+tx AS (SELECT query_id, rank, m.id, tags, replace(trim(data), chr(10), ' ') AS t FROM pr JOIN mem m ON pr.id = m.id),
+ct AS (SELECT *, substr(t, 1, 500) AS cut, length(substr(t, 1, 500)) - instr(reverse(substr(t, 1, 500)), ' ') AS sp FROM tx),
+l0 AS (SELECT query_id, rank, concat('- [#', id, '] ', CASE WHEN length(t) <= 500 THEN t ELSE concat(rtrim(CASE WHEN instr(cut, ' ') > 0 AND sp >= 300 THEN substr(cut, 1, sp) ELSE cut END), ' […]') END, CASE WHEN len(tags) > 0 THEN concat(' (tags: ', array_to_string(tags, ', '), ')') ELSE '' END) AS line FROM ct),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) > 1 AND sum(length(line)) OVER (PARTITION BY query_id ORDER BY rank) > 2000 AS over_ FROM l0),
+ln AS (SELECT *, max(CAST(over_ AS INT)) OVER (PARTITION BY query_id ORDER BY rank) = 1 AS gone FROM l1)""")
+_CLUSTERS = f"""rc AS (SELECT agent_id AS grp, id, created, unnest(list_distinct(tags)) AS tag FROM mem WHERE type = 'episodic' AND importance <= 0.6e0 AND {NOW} - created >= {WEEK} AND NOT list_contains(tags, 'summary')),
+tg AS (SELECT grp, tag, list(id ORDER BY created, id) AS all_ids FROM rc GROUP BY grp, tag HAVING count(*) >= 3), tn AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY tag) AS k FROM tg),
+st AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS placed, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS BIGINT[]) AS ids, 0 AS c FROM tn
+  UNION ALL SELECT grp, k, CASE WHEN good THEN list_concat(placed, free) ELSE placed END, tag, CASE WHEN good THEN free END, c + CAST(good AS INT)
+  FROM (SELECT *, len(free) >= 3 AND c < 20 AS good FROM (SELECT st.grp, tn.k, st.placed, tn.tag, st.c, list_slice(list_filter(tn.all_ids, lambda i: NOT list_contains(st.placed, i)), 1, 20) AS free FROM st JOIN tn ON tn.grp = st.grp AND tn.k = st.k + 1))),
+cl AS (SELECT grp, tag, ids FROM st WHERE ids IS NOT NULL)"""
+sql("summary_clusters", "SELECT grp AS agent_id, tag, len(ids) AS n, ids[1] AS first_id FROM cl", "mem", more=_CLUSTERS)
+sql("summary_fake", r"SELECT grp AS agent_id, tag, substr(concat('[distilled ', count(*), ' memories] ', string_agg(gist, '; ' ORDER BY pos)), 1, 400) AS text FROM ms GROUP BY grp, tag", "mem", more=_CLUSTERS + r""",
+mp AS (SELECT grp, tag, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM cl),
+ms AS (SELECT grp, tag, pos, array_to_string(list_slice(string_split_regex(regexp_replace(data, '^\s+|\s+$', '', 'g'), '\s+'), 1, 6), ' ') AS gist FROM mp JOIN mem USING (id) WHERE data IS NOT NULL AND data <> '')""")
+sql("summarised_store", r"SELECT grp AS agent_id, tag, len(ids) AS sources, list_max(list_transform(ids, lambda i: i)) AS last_source, array_to_string(list_sort(list_distinct(list_concat(flatten(tags), ['summary']))), ',') AS tags, importance FROM (SELECT cl.grp, cl.tag, any_value(cl.ids) AS ids, list(m.tags) AS tags, max(m.importance) AS importance FROM (SELECT grp, tag, ids, unnest(ids) AS id FROM cl) cl JOIN mem m ON m.id = cl.id GROUP BY cl.grp, cl.tag)", "mem", more=_CLUSTERS)
+sql("token_bucket_allow", "SELECT agent_id, allowed, count(*) AS n FROM st WHERE k > 0 GROUP BY agent_id, allowed", more="""rq AS (SELECT concat('ns', CAST(user_id % 5 AS VARCHAR)) AS agent_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id % 5 ORDER BY epoch_us(ts), event_id) AS k FROM events),
+st AS (SELECT DISTINCT agent_id, CAST(0 AS BIGINT) AS k, 5e0 AS tokens, CAST(NULL AS BIGINT) AS last, FALSE AS allowed FROM rq
+  UNION ALL SELECT agent_id, k, CASE WHEN now_ >= 1 THEN now_ - 1 ELSE now_ END, at_us, now_ >= 1
+  FROM (SELECT rq.agent_id, rq.k, rq.at_us, CASE WHEN st.last IS NULL THEN 5e0 WHEN rq.at_us > st.last THEN least(5e0, st.tokens + CAST(rq.at_us - st.last AS DOUBLE) / 1e6 * 0.001e0) ELSE st.tokens END AS now_ FROM st JOIN rq ON rq.agent_id = st.agent_id AND rq.k = st.k + 1))""")
+
+# operations
+sql("stats_rollup", """SELECT (SELECT count(*) FROM last WHERE NOT deleted) AS records, (SELECT count(*) FROM last WHERE deleted) AS tombstones, (SELECT CAST(sum(strlen(data)) AS BIGINT) FROM versions) AS log_bytes,
+  (SELECT count(DISTINCT agent_id) FROM last WHERE NOT deleted) AS tenants, (SELECT count(*) FROM usage_counts) AS usage_tracked, (SELECT count(DISTINCT event_type) FROM events) AS operations, (SELECT count(*) FROM events) AS requests""", "versions", "usage_counts", more=LAST)
+sql("metric_families", """SELECT 'memory_records' AS name, CAST(count(*) FILTER (WHERE NOT deleted) AS DOUBLE) AS value, '' AS label FROM last UNION ALL SELECT 'memory_tombstones', CAST(count(*) FILTER (WHERE deleted) AS DOUBLE), '' FROM last
+UNION ALL SELECT 'memory_requests_total', CAST(count(*) AS DOUBLE), event_type FROM events GROUP BY event_type UNION ALL SELECT 'memory_tenant_records', CAST(count(*) AS DOUBLE), agent_id FROM last WHERE NOT deleted GROUP BY agent_id""", "versions", more=LAST)
+sql("promote_images", f"SELECT session_id, local_id, 'episodic' AS type, strlen(data) AS bytes FROM ring WHERE created + 3600000 > {BASE + 3_700_000} AND local_id % 2 = 0", "sessions", more=RING.format(f"WHERE created <= {BASE + 3_700_000}"))
+sql("ring_after_promote", f"SELECT session_id, local_id FROM ring WHERE created + 3600000 > {BASE + 3_700_000} AND local_id % 2 = 1", "sessions", more=RING.format(f"WHERE created <= {BASE + 3_700_000}"))
+sql("replica_apply", "SELECT op, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT n.id, CASE WHEN n.deleted THEN 'delete' WHEN o.id IS NULL THEN 'insert' WHEN o.data = n.data AND o.updated = n.updated THEN 'same' ELSE 'update' END AS op FROM last n LEFT JOIN (SELECT * FROM versions WHERE seq <= 5000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) o ON o.id = n.id) GROUP BY op", "versions", more=LAST)
+_given = ", ".join(f"('{hashlib.sha256(x.encode()).hexdigest()[:12]}', {_lit(n) if n else 'NULL'}, '{c}')" for x, n, c in Q.TOKENS if x != "beta")
+sql("token_operations", f"SELECT * FROM (VALUES {_given}, ('{hashlib.sha256(b'delta').hexdigest()[:12]}', 'src3', 'rw')) AS t(fingerprint, namespace, scope)")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, folder
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import approximate, capture, evaluate, filters, graph, maintain, multi, recall, search, stats, temporal
+from ..operators.lexicon import Lexicon
 from ..operators.search import SearchParams
-from ..streaming import working
+from ..streaming import follow, working
 from .views import BASE, NOW, view
 
 QUERY = "apache license version"
@@ -32,15 +35,34 @@ def query(f: Query) -> Query:
 
 
 def over(name: str, *views: str):
-    """Registers f over views."""
+    """Registers f over views; the view lex is the stored lexical index of mem."""
 
     def wrap(f):
-        QUERIES[name] = lambda spark, d: f(*[view(spark, d, v) for v in views])
+        QUERIES[name] = lambda spark, d: f(*[lexicon(spark, d) if v == "lex" else found_queries(spark, d) if v == "eval_queries" else view(spark, d, v) for v in views])
         return f
 
     return wrap
 
 
+_lexicons: dict[tuple, Lexicon] = {}
+
+
+def lexicon(spark: SparkSession, d: str) -> Lexicon:
+    """The lexical index of the view mem, built at its first use in a session; other files make another one."""
+    files = spark.read.parquet(f"{d}/documents.parquet").inputFiles()
+    key = (spark.sparkContext.applicationId, d, tuple(files))
+    if key not in _lexicons:
+        _lexicons[key] = Lexicon.build(view(spark, d, "mem").select("id", "data"), f"{folder(spark).rstrip('/')}/lexicon-{uuid.uuid4().hex}")
+    return _lexicons[key]
+
+
+def found_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The view eval_queries: documents that hold the first 40 characters of a benchmark item, found by automata."""
+    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    hits = multi.containing(view(spark, d, "mem").select("id", "data"), q.select(F.col("query_id").alias("pattern_id"), F.col("query").alias("pattern")))
+    return q.join(hits.withColumnRenamed("pattern_id", "query_id"), "query_id").select("query_id", "query", F.col("id").alias("relevant_id"))
+
+
 def _tags(df: DataFrame) -> DataFrame:
     return df.withColumn("tags", F.array_join("tags", ","))
 
@@ -84,10 +106,10 @@ over("checkpoint_plus_tail", "versions")(lambda v: temporal.latest(temporal.late
 
 # text
 over("tokenize_documents", "mem")(lambda m: multi.postings(m).select("id", "term", "tf"))
-over("term_document_frequency", "mem")(lambda m: m.select(F.explode(F.array_distinct(X.tokens(F.col("data")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+over("term_document_frequency", "lex")(lambda x: x.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 over("doc_lengths", "mem")(lambda m: X.token_rows(m).select("id", F.size("t").cast("long").alias("dl")).where("dl > 0"))
 over("corpus_stats", "mem")(lambda m: X.token_rows(m).select(F.size("t").alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total_len"), F.round(F.avg("dl"), 6).alias("avgdl")))
-over("distinct_terms", "mem")(lambda m: m.select(F.explode(F.array_distinct(X.tokens(F.col("data")))).alias("term")).agg(F.countDistinct("term").alias("n")))
+over("distinct_terms", "lex")(lambda x: x.postings().select("term").distinct().agg(F.count(F.lit(1)).alias("n")))
 
 
 # lexical search
@@ -95,12 +117,12 @@ def _scored(hits: DataFrame, *more: str) -> DataFrame:
     return hits.select("id", F.round("score", 6).alias("score"), *[F.col(c).cast("long").alias(c) for c in more])
 
 
-over("bm25_topk", "mem")(lambda m: search.ranked(search.lexical(m, QUERY), "bm25", "lrank", 10).select("id", F.round("bm25", 6).alias("score"), F.col("lrank").cast("long").alias("lrank")))
+over("bm25_topk", "lex")(lambda x: search.ranked(x.search(QUERY), "bm25", "lrank", 10).select("id", F.round("bm25", 6).alias("score"), F.col("lrank").cast("long").alias("lrank")))
 over("bm25_multi_term", "mem")(lambda m: search.ranked(search.lexical(m, LONG_QUERY), "bm25", "lrank", 20).select("id", F.round("bm25", 6).alias("score"), F.col("lrank").cast("long").alias("lrank")))
-over("bm25_weighted", "mem")(lambda m: _scored(search.search(m, SearchParams(query=QUERY, now=NOW, top_k=20)), "lrank"))
-over("bm25_filtered_namespace", "mem")(lambda m: _scored(search.search(m, SearchParams(query=LONG_QUERY, namespace=LN, now=NOW)), "lrank"))
-over("bm25_explain", "mem")(lambda m: search.search(m, SearchParams(query=QUERY, now=NOW, half_life=604_800_000)).select("id", F.round("bm25", 6).alias("bm25"), "importance", "confidence", F.round("weight", 6).alias("weight"), F.round("recency", 6).alias("recency_factor"), F.round("score", 6).alias("score")))
-over("bm25_identifier", "mem")(lambda m: _scored(search.search(m, SearchParams(query=IDENTIFIER, now=NOW, top_k=20)), "lrank"))
+over("bm25_weighted", "mem", "lex")(lambda m, x: _scored(search.search(m, SearchParams(query=QUERY, now=NOW, top_k=20), index=x), "lrank"))
+over("bm25_filtered_namespace", "mem", "lex")(lambda m, x: _scored(search.search(m, SearchParams(query=LONG_QUERY, namespace=LN, now=NOW), index=x), "lrank"))
+over("bm25_explain", "mem", "lex")(lambda m, x: search.search(m, SearchParams(query=QUERY, now=NOW, half_life=604_800_000), index=x).select("id", F.round("bm25", 6).alias("bm25"), "importance", "confidence", F.round("weight", 6).alias("weight"), F.round("recency", 6).alias("recency_factor"), F.round("score", 6).alias("score")))
+over("bm25_identifier", "mem", "lex")(lambda m, x: _scored(search.search(m, SearchParams(query=IDENTIFIER, now=NOW, top_k=20), index=x), "lrank"))
 
 
 # semantic search
@@ -123,40 +145,48 @@ over("vector_norms", "mem_vec")(lambda v: v.select("id", F.round(V.norm(F.col("v
 
 
 # fusion
-def _hybrid(m: DataFrame, v: DataFrame, **kw) -> DataFrame:
-    return search.search(m, SearchParams(query=LONG_QUERY, embedding=_query_vector(v), now=NOW, **kw), v)
+def _hybrid(m: DataFrame, v: DataFrame, x: Lexicon, **kw) -> DataFrame:
+    return search.search(m, SearchParams(query=LONG_QUERY, embedding=_query_vector(v), now=NOW, **kw), v, x)
 
 
 def _ranks(df: DataFrame) -> DataFrame:
     return df.select("id", F.col("srank").cast("long").alias("srank"), F.col("lrank").cast("long").alias("lrank"), F.round("rrf", 9).alias("score"))
 
 
-over("rrf_full_outer", "mem", "mem_vec")(lambda m, v: _ranks(search.fused(search.ranked(search.similarities(v, _query_vector(v)), "sim", "srank", 72), search.ranked(search.lexical(m, LONG_QUERY), "bm25", "lrank", 72))))
-over("hybrid_topk", "mem", "mem_vec")(lambda m, v: _ranks(_hybrid(m, v)))
-over("hybrid_min_score", "mem", "mem_vec")(lambda m, v: _ranks(_hybrid(m, v, min_score=0.25, top_k=20)))
-over("hybrid_explain", "mem", "mem_vec")(lambda m, v: _hybrid(m, v).select("id", F.round("sim", 6).alias("similarity"), F.round("bm25", 6).alias("bm25"), "weight", "recency", F.col("srank").isNotNull().alias("semantic"), F.col("lrank").isNotNull().alias("lexical")))
-over("hybrid_namespace_global_rank", "mem", "mem_vec")(lambda m, v: _ranks(_hybrid(m, v, namespace=LN)))
+over("rrf_full_outer", "lex", "mem_vec")(lambda x, v: _ranks(search.fused(search.ranked(search.similarities(v, _query_vector(v)), "sim", "srank", 72), search.ranked(x.search(LONG_QUERY), "bm25", "lrank", 72))))
+over("hybrid_topk", "mem", "mem_vec", "lex")(lambda m, v, x: _ranks(_hybrid(m, v, x)))
+over("hybrid_min_score", "mem", "mem_vec", "lex")(lambda m, v, x: _ranks(_hybrid(m, v, x, min_score=0.25, top_k=20)))
+over("hybrid_explain", "mem", "mem_vec", "lex")(lambda m, v, x: _hybrid(m, v, x).select("id", F.round("sim", 6).alias("similarity"), F.round("bm25", 6).alias("bm25"), "weight", "recency", F.col("srank").isNotNull().alias("semantic"), F.col("lrank").isNotNull().alias("lexical")))
+over("hybrid_namespace_global_rank", "mem", "mem_vec", "lex")(lambda m, v, x: _ranks(_hybrid(m, v, x, namespace=LN)))
 
 
 # approximate search
 def _probes(v: DataFrame) -> DataFrame:
-    return v.where("id % 25 = 1").select(F.col("id").alias("query_id"), "vec")
+    return v.where("(id - 1) % 100 = 0").select(F.col("id").alias("query_id"), "vec")  # the stated queries: vec_id divisible by 100
+
 
+def _int8(v: DataFrame, one: DataFrame) -> DataFrame:
+    """Codes are whole numbers: sums are longs, and one division and one rounding by floor follow, the same in every engine."""
+    z = v.select("id", V.quantized(F.col("vec")).alias("z")).select("id", F.round("z.scale", 9).alias("scale"), F.col("z.q").alias("q")).join(F.broadcast(one))  # one row
+    d = lambda a, b: V.whole_dot(F.col(a), F.col(b))
+    size = F.sqrt(d("q", "q").cast("double") * d("p", "p").cast("double"))
+    return z.select("id", "scale", (F.floor(d("q", "p").cast("double") / F.nullif(size, F.lit(0.0)) * 1000000.0 + 0.5) / 1000000.0).alias("score"))
 
-over("ann_ivf_topk", "mem_vec")(lambda v: approximate.ivf_topk(v, _probes(v), 10, lists=8, probes=6))
-over("ann_lsh_topk", "mem_vec")(lambda v: approximate.lsh_topk(v, _probes(v), 10))
-over("int8_quantized_cosine", "mem_vec")(lambda v: v.select("id", V.quantized(F.col("vec")).alias("z")).select("id", F.col("z.q").cast("array<double>").alias("q"), F.round("z.scale", 9).alias("scale")).join(v.where("id = 1").select(V.quantized(F.col("vec"))["q"].cast("array<double>").alias("p"))).select("id", "scale", F.round(V.cosine(F.col("q"), F.col("p")), 6).alias("score")))
+
+IVF, LSH = {"lists": 8, "probes": 6}, {"tables": 24, "bits": 4}
+over("ann_ivf_topk", "mem_vec")(lambda v: approximate.ivf_topk(v, _probes(v), 10, **IVF))
+over("ann_lsh_topk", "mem_vec")(lambda v: approximate.lsh_topk(v, _probes(v), 10, **LSH))
+over("int8_quantized_cosine", "mem_vec")(lambda v: _int8(v, v.where("id = 1").select(V.quantized(F.col("vec"))["q"].alias("p"))))
 
 
 @over("ann_recall_at_10", "mem_vec")
 def _(v: DataFrame) -> DataFrame:
-    probes = [(r.query_id, list(r.vec)) for r in _probes(v).orderBy("query_id").limit(10).collect()]
-    exact = approximate.exact_topk(v, probes, 10)
-    few = v.sparkSession.createDataFrame(probes, "query_id long, vec array<float>")
-    modes = {"ivf": approximate.ivf_topk(v, few, 10, lists=8, probes=7), "lsh": approximate.lsh_topk(v, few, 10, tables=32, bits=3)}
+    """Recall of the registered searches, with their settings, over all stated queries."""
+    exact = approximate.exact_topk(v, _probes(v), 10)
+    modes = {"ivf": approximate.ivf_topk(v, _probes(v), 10, **IVF), "lsh": approximate.lsh_topk(v, _probes(v), 10, **LSH)}
     out = None
     for name, got in modes.items():
-        r = approximate.recall_at(got, exact).agg(F.lit(name).alias("mode"), F.round(F.avg("recall"), 6).alias("recall"))
+        r = approximate.recall_at(got, exact).agg(F.lit(name).alias("mode"), F.count(F.lit(1)).alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
         out = r if out is None else out.unionAll(r)
     return out
 
@@ -177,26 +207,15 @@ over("forget_usage_weight_zero", "mem", "usage_counts")(lambda m, u: _kept(maint
 over("forget_max", "mem", "usage_counts")(lambda m, u: _kept(maintain.forget(m, u, NOW, max_forget=25)))
 
 
-def _pairs(m: DataFrame, v: DataFrame) -> DataFrame:
-    live = m.where(filters.record_filter(type="semantic", now=NOW)).select("id", "agent_id")
-    return maintain.similar_pairs(v.join(live, "id"), 0.95, ("agent_id",))
+def _typed(m: DataFrame, v: DataFrame) -> DataFrame:
+    return v.join(m.where(filters.record_filter(type="semantic", now=NOW)).select("id", "agent_id"), "id")
 
 
 def _merged(m: DataFrame, v: DataFrame) -> DataFrame:
-    _checkpoints(m.sparkSession)
-    p = _pairs(m, v).checkpoint(True)
-    ids = p.select(F.col("a").alias("id")).unionAll(p.select("b"))
-    return maintain.merged(m, maintain.stars(p, ids))
-
-
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return maintain.merged(m, maintain.clusters(_typed(m, v), 0.95, ("agent_id",)))
 
 
-over("consolidate_pairs", "mem", "dup_vec")(lambda m, v: _pairs(m, v).select("a", "b", F.round("sim", 6).alias("sim")))
+over("consolidate_pairs", "mem", "dup_vec")(lambda m, v: maintain.similar_pairs(_typed(m, v), 0.95, ("agent_id",)).select("a", "b", F.round("sim", 6).alias("sim")))
 over("consolidate_survivors", "mem", "dup_vec")(lambda m, v: _tags(_merged(m, v)).select("seed", "survivor", "members", "tags", "importance", "confidence"))
 over("consolidate_supersedes", "mem", "dup_vec")(lambda m, v: _merged(m, v).select(F.col("survivor").alias("from_id"), F.explode("supersedes").alias("to_id"), F.lit("supersedes").alias("kind")))
 over("purge_namespace", "versions")(lambda v: maintain.purge(v, "ns1").groupBy("agent_id").agg(F.count(F.lit(1)).alias("n")))
@@ -214,7 +233,7 @@ over("edge_kinds", "edges")(lambda e: e.groupBy("kind").agg(F.count(F.lit(1)).al
 
 @over("relate_dedup", "mem", "edges")
 def _(m: DataFrame, e: DataFrame) -> DataFrame:
-    links = e.where("from_id <= 50").unionAll(e.where("from_id <= 20")).unionAll(m.where("id <= 5").select("id", "id", F.lit("self")))
+    links = e.unionAll(e).unionAll(m.select("id", "id", F.lit("self")))  # repeated links change nothing, links to oneself are refused
     records = m.withColumn("relationships", F.expr("cast(array() as array<struct<from_id:bigint,to_id:bigint,kind:string>>)"))
     return graph.relate(records, links)[0].select("id", F.size("relationships").cast("long").alias("n"))
 
@@ -257,43 +276,50 @@ over("ephemeral_filter", "transcripts")(lambda t: t.where(~X.ephemeral(F.col("te
 over("looks_like_code", "transcripts")(_first(lambda s: s.where(X.looks_like_code(F.col("sentence"))).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"))))
 over("capture_candidates", "transcripts")(lambda t: capture.candidates(t, "conv_id", "turn").select("conv_id", "text", F.round("salience", 6).alias("salience"), F.array_join("tags", ",").alias("tags")))
 over("fake_extract_facts", "transcripts")(lambda t: capture.facts(t, "conv_id", "turn").select("conv_id", F.col("n").cast("long").alias("n"), "fact"))
-over("supersede_judge", "mem")(lambda m: capture.superseded(m.where("id % 10 = 1").select("id", F.substring("data", 1, 60).alias("text")), m.where("id % 10 = 2").select("id", F.substring("data", 1, 60).alias("text"))))
+over("supersede_judge", "mem")(lambda m: capture.superseded(m.where("type = 'episodic'").select("id", F.col("data").alias("text")), m.where("type = 'semantic'").select("id", F.col("data").alias("text"))))
 
 
 # recall and summaries
 def _pages(m: DataFrame, v: DataFrame) -> DataFrame:
-    probes = [(r.query_id, list(r.vec)) for r in _probes(v).orderBy("query_id").limit(3).collect()]
-    return approximate.exact_topk(v, probes, 20).join(m, "id").join(v, "id")
+    return approximate.exact_topk(v, _probes(v), 20).join(m, "id").join(v, "id")
 
 
 over("client_blend_score", "mem", "mem_vec")(lambda m, v: m.join(search.similarities(v, _query_vector(v)), "id").select("id", recall.blend(F.col("sim")).alias("score")))
-over("near_dup_suppress", "mem", "dup_vec")(lambda m, v: recall.suppressed(approximate.exact_topk(v, [(1, list(v.where("id = 1").first().vec))], 40).join(v, "id").select("query_id", "rank", "id", "vec"), 0.95).select("query_id", "rank", "id"))
+over("near_dup_suppress", "mem", "dup_vec")(lambda m, v: recall.suppressed(approximate.exact_topk(v, _probes(v), 40).join(v, "id").select("query_id", "rank", "id", "vec"), 0.95).select("query_id", "rank", "id"))
 over("recall_context_budget", "mem", "mem_vec")(lambda m, v: recall.context(_pages(m, v)))
 over("summary_clusters", "mem")(lambda m: capture.summary_clusters(m, NOW).select(F.col("grp").alias("agent_id"), "tag", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id")))
 over("summary_fake", "mem")(lambda m: capture.summaries(capture.summary_clusters(m, NOW), m).select(F.col("grp").alias("agent_id"), "tag", "text"))
 
 
 # evaluation
-def _evaluated(m: DataFrame, q: DataFrame, ks=(1, 5, 10)) -> DataFrame:
-    hits = multi.lexical_many(m, q.select("query_id", "query").distinct(), max(ks))
+def _evaluated(x: Lexicon, q: DataFrame, ks=(1, 5, 10)) -> DataFrame:
+    hits = multi.lexical_many(x, q.select("query_id", "query").distinct(), max(ks))
     return evaluate.per_query(hits, q.select("query_id", F.col("relevant_id").alias("id")), ks)
 
 
-over("eval_recall_at_k", "mem", "eval_queries")(lambda m, q: _evaluated(m, q).drop("rr"))
-over("eval_mrr", "mem", "eval_queries")(lambda m, q: evaluate.means(_evaluated(m, q)))
+over("eval_recall_at_k", "lex", "eval_queries")(lambda x, q: _evaluated(x, q).drop("rr"))
+over("eval_mrr", "lex", "eval_queries")(lambda x, q: evaluate.means(_evaluated(x, cut(q))))
 
 
-@over("eval_mode_comparison", "mem", "eval_queries")
-def _(m: DataFrame, q: DataFrame) -> DataFrame:
+@over("eval_mode_comparison", "mem", "lex", "eval_queries")
+def _(m: DataFrame, x: Lexicon, q: DataFrame) -> DataFrame:
+    q = cut(q)
     newest = filters.capped(m, 10).select("id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("id"))))
     recent = evaluate.per_query(q.select("query_id").distinct().join(F.broadcast(newest)), q.select("query_id", F.col("relevant_id").alias("id")), (1, 5, 10))
-    return evaluate.means(_evaluated(m, q)).withColumn("mode", F.lit("lexical")).unionByName(evaluate.means(recent).withColumn("mode", F.lit("recent")))
+    return evaluate.means(_evaluated(x, q)).withColumn("mode", F.lit("lexical")).unionByName(evaluate.means(recent).withColumn("mode", F.lit("recent")))
 
 
 # streams in batch form
 over("ring_buffer_last_n", "sessions")(lambda s: working.last_n(s, 4).select("session_id", "local_id"))
 over("working_live_at", "sessions")(lambda s: working.live_at(s, BASE + 3_700_000, 4, 3_600_000).select("session_id", "local_id"))
-over("usage_counts", "usage_counts")(lambda u: u)
+
+
+@query
+def usage_counts(spark, d):
+    """Counts of hits from single events, by the aggregate that the stream uses."""
+    hits = _events(spark, d).where(F.col("event_type").isin("view", "click"))
+    return follow.usage_stream(hits.select((F.col("user_id") + 1).alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")))
+
 
 
 @query
@@ -343,3 +369,33 @@ def token_fingerprint(spark, d):
     from ..sources.access import token_table
 
     return token_table(spark, TOKENS).select(F.col("fingerprint"), "namespace", "scope")
+
+
+@query
+def token_operations(spark, d):
+    """The token table after one is added and one is revoked."""
+    from ..sources.access import added, listed, revoked, token_table
+
+    t, _ = added(token_table(spark, TOKENS), "delta", "src3", "rw")
+    return listed(revoked(t, listed(token_table(spark, [("beta", "src2", "rw")])).first().fingerprint))
+
+
+# operations on working memory, statistics, replicas
+over("promote_images", "sessions")(lambda s: working.promoted(s, s.where("local_id % 2 = 0").select("session_id", "local_id"), BASE + 3_700_000, 4, 3_600_000)[0].select("session_id", "local_id", "type", F.octet_length("data").cast("long").alias("bytes")))
+over("ring_after_promote", "sessions")(lambda s: working.promoted(s, s.where("local_id % 2 = 0").select("session_id", "local_id"), BASE + 3_700_000, 4, 3_600_000)[1].select("session_id", "local_id"))
+over("summarised_store", "mem")(lambda m: _tags(capture.distilled(capture.summary_clusters(m, NOW), m)).select(F.col("grp").alias("agent_id"), "tag", F.size("ids").cast("long").alias("sources"), F.array_max("ids").alias("last_source"), "tags", "importance"))
+over("replica_apply", "versions")(lambda v: follow.changes(temporal.latest(v.where("seq <= 5000")), temporal.latest(v)).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")))
+
+
+@query
+def stats_rollup(spark, d):
+    e = _events(spark, d).select(F.col("event_type").alias("op"), (F.col("value") * 100).alias("us"))
+    r = stats.rollup(view(spark, d, "versions"), view(spark, d, "usage_counts"), e)
+    return r.select("records", "tombstones", "log_bytes", "tenants", "usage_tracked", "operations", "requests")
+
+
+@query
+def metric_families(spark, d):
+    e = _events(spark, d).select(F.col("event_type").alias("op"), (F.col("value") * 100).alias("us"))
+    f = stats.families(view(spark, d, "versions"), e)
+    return f.select("name", "value", F.coalesce(F.get(F.map_values("labels"), F.lit(0)), F.lit("")).alias("label"))

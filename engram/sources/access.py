@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import AGENT_BYTES, EngineError
+
 SCOPES = ("ro", "rw", "admin")
 #: Operations with what they need: (writes, admin only, phase).
 OPERATIONS = {
@@ -28,6 +31,29 @@ def token_table(spark: SparkSession, tokens: list[tuple[str, str | None, str]])
     return spark.createDataFrame(rows, "token string, namespace string, scope string").withColumn("fingerprint", F.substring("token", 1, 12))
 
 
+def listed(tokens: DataFrame) -> DataFrame:
+    """What may be shown of tokens: no secret, no hash."""
+    return tokens.select("fingerprint", "namespace", "scope")
+
+
+def added(tokens: DataFrame, secret: str | None = None, namespace: str | None = None, scope: str | None = None) -> tuple[DataFrame, str | None]:
+    """(the table with a new token, its secret if it was made here). The scope is rw with a namespace and admin without, if
+    none is given; admin tokens have no namespace, others need one without white space and control characters."""
+    scope = scope or ("rw" if namespace else "admin")
+    if scope not in SCOPES or scope != "admin" and (not namespace or len(namespace.encode()) > AGENT_BYTES or any(c <= " " or c == "\x7f" for c in namespace)):
+        raise EngineError("INVALID_REQUEST", "token")
+    made = None if secret else secrets.token_hex(32)
+    new = token_table(tokens.sparkSession, [(secret or made, None if scope == "admin" else namespace, scope)])
+    return tokens.unionByName(new), made
+
+
+def revoked(tokens: DataFrame, fingerprint: str) -> DataFrame:
+    """The table without the token of a fingerprint."""
+    if tokens.where(F.col("fingerprint") == fingerprint).isEmpty():
+        raise EngineError("NOT_FOUND", fingerprint)
+    return tokens.where(F.col("fingerprint") != fingerprint)
+
+
 def resolve(tokens: DataFrame, secret: str | None):
     """(namespace, scope) of a secret, None if it is unknown; without any token all is open."""
     rows = tokens.collect()  # a table of tokens, as configured

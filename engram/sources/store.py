@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import filters, graph, maintain, search, temporal
+from ..checkpoints import cut
+from ..operators import capture, filters, graph, maintain, search, temporal
+from ..operators.lexicon import Lexicon
 from ..operators.search import SearchParams
-from ..schema import BATCH_MAX, PAGE, PAGE_MAX, VERSIONS, EngineError, rejection
+from ..schema import BATCH_MAX, PAGE, PAGE_MAX, RING, RING_TTL, VERSIONS, EngineError, rejection
+from ..streaming.working import live_at
 
 
 class Files:
@@ -49,6 +52,20 @@ class Files:
         fs.rename(beside, p)
 
 
+def numbered(rows: DataFrame, order: str, name: str, after: int = 0) -> DataFrame:
+    """rows with consecutive numbers in an order. They are sorted in ranges; a range's first number follows from how many
+    rows stand before it, so that no task sees all rows."""
+    part, at = "__part", "__at"
+    rows = cut(rows.orderBy(order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).orderBy(part).collect()  # a row for each task
+    begin, n = [], after
+    for r in sizes:
+        begin.append((r[part], n + 1 - r["first"]))
+        n += r["n"]
+    offsets = rows.sparkSession.createDataFrame(begin, f"{part} int, __offset long")
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col(at) + F.col("__offset")).drop(part, at, "__offset")
+
+
 class MemoryStore:
     """A single writer's store at a path. Every write appends images; reads derive views from the log."""
 
@@ -77,17 +94,12 @@ class MemoryStore:
         """Appends record images (all columns but seq) in order of ids; returns how many."""
         seq, _ = self._top()
         cols = [f.name for f in VERSIONS.fields]
-        out = images.withColumn("seq", F.lit(seq) + self._numbers(images))
-        out = out.select(*[F.col(c).cast(VERSIONS[c].dataType).alias(c) for c in cols]).checkpoint(True) if self.spark.sparkContext.getCheckpointDir() else out.select(*[F.col(c).cast(VERSIONS[c].dataType).alias(c) for c in cols]).cache()
+        out = cut(numbered(images, "id", "seq", seq).select(*[F.col(c).cast(VERSIONS[c].dataType).alias(c) for c in cols]))
         n = out.count()
         if n:
             out.write.mode("append").parquet(self._log())
         return n
 
-    @staticmethod
-    def _numbers(images: DataFrame):
-        return F.row_number().over(search.Window.orderBy("id"))  # a write's rows, not the log's
-
     # reads
     def current(self) -> DataFrame:
         return temporal.current(self.versions())
@@ -114,7 +126,7 @@ class MemoryStore:
         return self.current().where(F.size("embedding") > 0).select("id", F.posexplode("embedding").alias("slot", "vec"))
 
     def search(self, params: SearchParams, track_usage: bool = True) -> DataFrame:
-        hits = search.search(self.current(), params, self.vectors())
+        hits = search.search(self.current(), params, self.vectors(), self.lexicon() if params.query else None)
         if track_usage:
             self.record_recall(hits, params.now)
         return hits
@@ -155,7 +167,7 @@ class MemoryStore:
         df = self.spark.createDataFrame([tuple(g.get(n) for n in plain.names) for g in given], T.StructType([T.StructField(f.name, f.dataType) for f in plain.fields])).withColumn("reason", rejection())
         df = df.withColumn("at", F.monotonically_increasing_id())
         _, top = self._top()
-        good = df.where("reason is null").withColumn("id", F.lit(top) + F.row_number().over(search.Window.orderBy("at"))).drop("reason", "at")
+        good = numbered(df.where("reason is null"), "at", "id", top).drop("reason", "at")
         return self.append(good), df.where("reason is not null").drop("at")
 
     def update(self, id: int, now: int, namespace: str | None = None, **patch) -> None:
@@ -205,24 +217,87 @@ class MemoryStore:
 
     def consolidate(self, now: int, similarity: float = 0.95, by: tuple[str, ...] = ("agent_id",)) -> tuple[int, int]:
         """(clusters, merged records): survivors get the union of tags and links, the others tombstones."""
-        self._checkpoints()
         live = self.visible(now).where("type = 'semantic'")
         first = live.where(F.size("embedding") > 0).select("id", F.col("embedding")[0].alias("vec"), *by)
-        pairs = maintain.similar_pairs(first, similarity, by).checkpoint(True)
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
-        if pairs.isEmpty():
+        merged = cut(maintain.merged(live, maintain.clusters(first, similarity, by)))
+        if merged.isEmpty():
             return 0, 0
-        merged = maintain.merged(live, maintain.stars(pairs, ids)).checkpoint(True)
         links = merged.select(F.col("survivor").alias("id"), F.col("tags").alias("t"), F.col("importance").alias("i"), F.col("confidence").alias("c"), F.transform("supersedes", lambda x: F.struct(F.col("survivor").alias("from_id"), x.alias("to_id"), F.lit("supersedes").alias("kind"))).alias("new"))
         old = live.join(merged.select(F.explode("supersedes").alias("id"), "survivor"), "id")
         theirs = old.select("survivor", F.explode("relationships").alias("e")).groupBy("survivor").agg(F.collect_set(F.struct(F.col("survivor").alias("from_id"), F.col("e.to_id").alias("to_id"), F.col("e.kind").alias("kind"))).alias("own")).withColumnRenamed("survivor", "id")
         none = F.expr("cast(array() as array<struct<from_id:bigint,to_id:bigint,kind:string>>)")
         out = live.join(links, "id").join(theirs, "id", "left").withColumns({"tags": F.col("t"), "importance": F.col("i"), "confidence": F.col("c"), "updated": F.lit(now).cast("long"), "relationships": F.array_union(F.array_union(F.coalesce("relationships", none), F.coalesce("own", none)), "new")})
         cols = [f.name for f in VERSIONS.fields if f.name != "seq"]
-        buried = old.drop("survivor").select(*cols).checkpoint(True)
+        buried = cut(old.drop("survivor").select(*cols))
         clusters = self.append(out.select(*cols))
         return clusters, self._bury(buried, now)
 
+    # working memory
+    def remember(self, session_id: str, texts: list[str], now: int, namespace: str | None = None) -> list[int]:
+        """Adds rows to a session's ring; their ids within the session follow the largest."""
+        kind = "session_id string, local_id long, data string, created long, agent_id string"
+        top = self._ring_log().where(F.col("session_id") == session_id).agg(F.max("local_id")).first()[0] or 0
+        ids = [top + 1 + i for i in range(len(texts))]
+        self.spark.createDataFrame([(session_id, i, t, now, namespace) for i, t in zip(ids, texts, strict=True)], kind).write.mode("append").parquet(f"{self.path}/working/added")
+        return ids
+
+    def _ring_log(self, name: str = "added") -> DataFrame:
+        kind = "session_id string, local_id long, data string, created long, agent_id string" if name == "added" else "session_id string, local_id long"
+        path = f"{self.path}/working/{name}"
+        return self.spark.read.schema(kind).parquet(path) if self.files.exists(path) else self.spark.createDataFrame([], kind)
+
+    def working(self, now: int, capacity: int = RING, ttl: int = RING_TTL) -> DataFrame:
+        """What the rings hold: the last rows of each session, not too old, not taken."""
+        return live_at(self._ring_log(), now, capacity, ttl).join(self._ring_log("taken"), ["session_id", "local_id"], "left_anti")
+
+    def take(self, session_id: str, local_id: int, now: int, namespace: str | None = None):
+        """Removes a row from its ring and gives it."""
+        row = self.working(now).where((F.col("session_id") == session_id) & (F.col("local_id") == local_id)).first()
+        if row is None or namespace is not None and row.agent_id not in (None, namespace):
+            raise EngineError("NOT_FOUND", f"{session_id}/{local_id}")
+        self.spark.createDataFrame([(session_id, local_id)], "session_id string, local_id long").write.mode("append").parquet(f"{self.path}/working/taken")
+        return row
+
+    def promote(self, session_id: str, local_id: int, now: int, to_type: str = "episodic", namespace: str | None = None) -> int:
+        """Takes a row of working memory and inserts it as a record; it is consumed even if the insert is refused."""
+        if not session_id or to_type not in ("episodic", "semantic"):
+            raise EngineError("INVALID_REQUEST", "promote")
+        row = self.take(session_id, local_id, now, namespace)
+        stored, bad = self.insert([{"data": row.data, "type": to_type}], now, namespace if namespace is not None else row.agent_id)
+        if not stored:
+            raise EngineError(bad.first().reason)
+        return self._top()[1]
+
+    def summarise(self, now: int, **kw) -> tuple[int, int]:
+        """(summaries, records that they replace): each cluster of old episodic records becomes one semantic record with an
+        edge to each source, and the sources tombstones."""
+        live = self.visible(now)
+        made = cut(capture.distilled(capture.summary_clusters(live, now, **kw), live))
+        if made.isEmpty():
+            return 0, 0
+        _, top = self._top()
+        made = cut(numbered(made.withColumn("first", F.col("ids")[0]), "first", "id", top))
+        none = {"type": F.lit("semantic"), "created": F.lit(now).cast("long"), "updated": F.lit(now).cast("long"), "confidence": F.lit(1.0), "agent_id": F.col("grp"), "data": F.col("text"), "expires_at": F.lit(0).cast("long"), "deleted": F.lit(False)}
+        edges = F.transform("ids", lambda i: F.struct(F.col("id").alias("from_id"), i.alias("to_id"), F.lit("summarizes").alias("kind")))
+        images = made.withColumns(none | {"relationships": edges, "embedding": F.array().cast(VERSIONS["embedding"].dataType)})
+        sources = cut(live.join(made.select(F.explode("ids").alias("id")), "id").select(*[f.name for f in VERSIONS.fields if f.name != "seq"]))
+        n = self.append(images.select(*[f.name for f in VERSIONS.fields if f.name != "seq"]))
+        return n, self._bury(sources, now)
+
+    # the lexical index
+    def lexicon(self) -> Lexicon:
+        """The stored index of the current records, brought up to the log's end."""
+        path, seq = f"{self.path}/lexicon-{self.generation}", self._top()[0]
+        done = int(self.files.read(f"{path}/SEQ")) if self.files.exists(f"{path}/SEQ") else None
+        index = Lexicon(self.spark, path)
+        if done is None:
+            index = Lexicon.build(self.current().select("id", "data"), path)
+        elif done < seq:
+            new = cut(temporal.latest(self.versions().where(F.col("seq") > done)).select("id", "data", "deleted"))
+            index.apply(new.where("not deleted").select("id", "data"), new.where("deleted").select("id"))
+        self.files.write(f"{path}/SEQ", str(seq))
+        return index
+
     def purge(self, namespace: str, dry_run: bool = False) -> int:
         if not namespace:
             raise EngineError("INVALID_REQUEST", "namespace")
@@ -251,13 +326,18 @@ class MemoryStore:
             raise EngineError("INVALID_REQUEST", "name")
         seq, top = self._top()
         self.versions().where(F.col("seq") <= seq).write.mode("errorifexists").parquet(f"{self.path}/snapshots/{name}/versions")
-        manifest = {"format": 1, "covered": seq, "next_id": top + 1, "generation": self.generation}
+        manifest = {"format": 1, "covered": seq, "next_id": top + 1, "generation": self.generation, "rows": self.spark.read.schema(VERSIONS).parquet(f"{self.path}/snapshots/{name}/versions").count(), "dim": self._dim()}
         self.files.write(f"{self.path}/snapshots/{name}/manifest.json", json.dumps(manifest))
         return manifest
 
+    def _dim(self) -> int:
+        """The length of the store's vectors, 0 without any."""
+        return self.current().where(F.size("embedding") > 0).agg(F.max(F.size(F.col("embedding")[0]))).first()[0] or 0
+
     @classmethod
-    def restore(cls, spark: SparkSession, snapshot: str, path: str) -> MemoryStore:
-        """A new store from a snapshot; an existing one is not overwritten."""
+    def restore(cls, spark: SparkSession, snapshot: str, path: str, dim: int | None = None) -> MemoryStore:
+        """A new store from a snapshot; an existing one is not overwritten. What does not agree with the manifest is refused:
+        the last number, how many rows, and the length of vectors, if one is asked for."""
         files = Files(spark)
         manifest = json.loads(files.read(f"{snapshot}/manifest.json"))
         if manifest.get("format") != 1:
@@ -266,16 +346,15 @@ class MemoryStore:
         if files.exists(store._log(0)) or files.exists(f"{path}/CURRENT"):
             raise EngineError("INVALID_REQUEST", "the target holds a store")
         v = spark.read.schema(VERSIONS).parquet(f"{snapshot}/versions")
-        if (v.agg(F.max("seq")).first()[0] or 0) != manifest["covered"]:
+        if dim is not None and manifest["dim"] not in (0, dim):
+            raise EngineError("INVALID_REQUEST", "dim")
+        last, rows = v.agg(F.max("seq"), F.count(F.lit(1))).first()
+        if ((last or 0), rows) != (manifest["covered"], manifest["rows"]):
             raise EngineError("INTERNAL", "the snapshot is not whole")
         v.write.mode("errorifexists").parquet(store._log(0))
         files.write(f"{path}/NEXT_ID", str(manifest["next_id"]))
         return store
 
-    def _checkpoints(self) -> None:
-        if self.spark.sparkContext.getCheckpointDir() is None:
-            self.spark.sparkContext.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.path}/checkpoints")
-
 
 def page_of(params: SearchParams, offset: int) -> SearchParams:
     return replace(params, offset=offset)

@@ -12,21 +12,31 @@ def usage_stream(recalls: DataFrame) -> DataFrame:
     return recalls.groupBy("id").agg(F.count(F.lit(1)).alias("recall_count"), F.max("ts_ms").alias("last_recalled"))
 
 
-def follow(spark: SparkSession, path: str, target: str, checkpoint: str, schema) -> StreamingQuery:
-    """Copies new versions of a log folder to target once each; the checkpoint is the cursor. What the target has already
-    (an id and seq) is left out, so that a replay is harmless."""
-
-    def apply(batch: DataFrame, _epoch: int) -> None:
-        new = batch.dropDuplicates(["id", "seq"])
-        try:
-            have = batch.sparkSession.read.schema(schema).parquet(target).select("id", "seq")
-            new = new.join(have, ["id", "seq"], "left_anti")
-        except Exception as e:  # the target does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(target)
-
-    return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def changes(have: DataFrame, images: DataFrame) -> DataFrame:
+    """images (latest of each id) with op against what a replica has: insert, update, delete, or same."""
+    old = have.select("id", F.struct("data", "updated").alias("old"))
+    same = (F.col("old.data").eqNullSafe(F.col("data"))) & (F.col("old.updated") == F.col("updated"))
+    op = F.when(F.col("deleted"), "delete").when(F.col("old").isNull(), "insert").when(same, "same").otherwise("update")
+    return images.join(old, "id", "left").withColumn("op", op).drop("old")
+
+
+def follow(spark: SparkSession, path: str, target: str, checkpoint: str, schema, generation: int = 0) -> StreamingQuery:
+    """Copies new versions of a log folder to target, once each; the checkpoint is the cursor. A batch is written to a folder
+    of its own number, which a replay overwrites, so that nothing is read back.
+
+    generation is that of the source's log: another one than the target holds is a reset, by which the target starts
+    anew with its own cursor."""
+    base = f"{target}/generation={generation}"
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        batch.dropDuplicates(["id", "seq"]).write.mode("overwrite").parquet(f"{base}/batch={epoch}")
+
+    return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/generation-{generation}").trigger(availableNow=True).start()
+
+
+def followed(spark: SparkSession, target: str, schema, generation: int = 0) -> DataFrame:
+    """What a follower has copied of a generation."""
+    return spark.read.schema(schema).parquet(f"{target}/generation={generation}/batch=*")
 
 
 def archive(stream: DataFrame, now: int) -> DataFrame:

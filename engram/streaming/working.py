@@ -25,6 +25,15 @@ def live_at(sessions: DataFrame, now: int, capacity: int = RING, ttl: int = RING
     return last_n(sessions.where(F.col("created") <= now), capacity).where(F.col("created") + ttl > now)
 
 
+def promoted(sessions: DataFrame, picks: DataFrame, now: int, capacity: int = RING, ttl: int = RING_TTL, to_type: str = "episodic") -> tuple[DataFrame, DataFrame]:
+    """(images to insert, what the rings hold after): picks (session_id, local_id) that are live are taken out of their ring
+    and become records that do not expire; others are not found and change nothing."""
+    live, key = live_at(sessions, now, capacity, ttl), ["session_id", "local_id"]
+    taken = live.join(picks.select(*key).distinct(), key, "left_semi")
+    images = taken.withColumns({"type": F.lit(to_type), "created": F.lit(now).cast("long"), "updated": F.lit(now).cast("long"), "expires_at": F.lit(0).cast("long")})
+    return images, live.join(picks.select(*key).distinct(), key, "left_anti")
+
+
 class Bucket:
     """A token bucket: full at first sight, refilled by qps a second up to burst (1 at least)."""
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
-from engram.operators import evaluate, filters, graph, maintain, recall, search, temporal
+from engram.operators import evaluate, filters, graph, maintain, multi, recall, search, temporal
 from engram.operators.search import SearchParams
 from engram.schema import EngineError
 
@@ -112,6 +112,27 @@ def test_consolidate(spark, tmp_path):
     assert len(r) == 1 and r[0].survivor == 3 and r[0].tags == ["a", "b", "c"] and r[0].importance == 0.9 and r[0].supersedes == [1, 2]
 
 
+def test_stars_run_to_the_end(spark):
+    """A chain of 150 ids: every other id seeds, however many rounds that takes; copies follow their representative."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 150)], "a long, b long")
+    got = {r.id: r.seed for r in maintain.stars(chain, chain.select(F.col("a").alias("id")).union(chain.select("b"))).collect()}
+    assert got == {i: i - 1 if i % 2 == 0 else i for i in range(1, 151)}
+    near = [1.0, 0.0], [0.999, 0.02], [0.0, 1.0]
+    v = spark.createDataFrame([(1, near[0]), (5, near[0]), (3, near[1]), (8, near[1]), (9, near[2])], "id long, vec array<double>")
+    assert {r.id: r.seed for r in maintain.clusters(v, 0.95).collect()} == {1: 1, 5: 1, 3: 1, 8: 1, 9: 9}
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "abcabc"), (2, "xbc"), (3, None), (4, "")], "id long, data string")
+    asked = spark.createDataFrame([(7, "bc"), (8, "abc"), (9, "bc"), (10, "zz"), (11, "")], "pattern_id long, pattern string")
+    assert sorted(map(tuple, multi.containing(docs, asked).collect())) == [(7, 1), (7, 2), (8, 1), (9, 1), (9, 2)]
+
+
+def test_terms_are_tokens(spark):
+    for t in ("--tenant-max-records", "see hnsw.c:214 now", "_private (coffee), tea. done:", "Straße ÀB ...", "a" * 80, "", "x_-_y __ a.b"):
+        assert X.terms(t) == toks(spark, t)
+
+
 def test_graph(spark):
     m = mem(spark, [{} for _ in range(26)])
     e = spark.createDataFrame([(1, i, "link") for i in range(2, 27)] + [(2, 1, "back")], "from_id long, to_id long, kind string")

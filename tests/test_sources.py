@@ -1,9 +1,14 @@
 """Store, binary log, lines, access, streams."""
 
+import functools
+import json
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.functions.embed import hashing
+from engram.functions.embed import hashes, hashing, subword
+from engram.operators import capture
 from engram.operators.search import SearchParams
 from engram.schema import EngineError
 from engram.sources import access, binlog, lines
@@ -36,6 +41,63 @@ def test_store(spark, tmp_path):
     assert s.purge("x") == 1 and s.current().count() == 1
 
 
+def test_store_operations(spark, tmp_path):
+    s = MemoryStore(spark, str(tmp_path / "store"))
+    day = 86_400_000
+    s.insert([{"data": f"{w} fact of the day {i}", "tags": ["x", "y"] if i % 2 else ["x"], "importance": 0.1 * i} for i, w in enumerate("ab cd ef gh".split())] + [{"data": "alone", "tags": ["z"]}], now=0, namespace="n")
+    q = SearchParams(query="fact", now=1)
+    assert len(s.search(q, False).collect()) == 4 and s.lexicon().sums().first()[:] == (5, 25)
+    s.delete(2, 1)
+    s.insert([{"data": "late fact"}], now=1, namespace="n")
+    assert sorted(r.id for r in s.search(q, False).collect()) == [1, 3, 4, 6]
+    small = s.lexicon().compact(str(tmp_path / "small"))
+    assert sorted(r.id for r in small.search("fact").collect()) == [1, 3, 4, 6] and small.sums().first()[:] == s.lexicon().sums().first()[:]
+    assert s.summarise(8 * day) == (1, 3)
+    r = s.get(7, 8 * day)
+    assert r.data == "[distilled 3 memories] ab fact of the day 0; ef fact of the day 2; gh fact of the day 3" and r.tags == ["summary", "x", "y"] and abs(r.importance - 0.3) < 1e-9
+    assert [(e.to_id, e.kind) for e in r.relationships] == [(1, "summarizes"), (3, "summarizes"), (4, "summarizes")]
+    assert sorted(x.id for x in s.visible(8 * day).collect()) == [5, 6, 7] and s.summarise(8 * day) == (0, 0)
+
+
+def test_working_memory(spark, tmp_path):
+    s = MemoryStore(spark, str(tmp_path / "store"))
+    assert s.remember("s", ["one", "two"], 10, "n") == [1, 2] and s.remember("s", [""], 20, "n") == [3] and s.remember("t", ["other"], 20) == [1]
+    assert s.promote("s", 1, 30, "semantic", "n") == 1 and s.get(1, 31).data == "one" and s.get(1, 31).type == "semantic"
+    assert sorted((r.session_id, r.local_id) for r in s.working(31).collect()) == [("s", 2), ("s", 3), ("t", 1)]
+    with pytest.raises(EngineError, match="NOT_FOUND"):
+        s.promote("s", 1, 32)
+    with pytest.raises(EngineError, match="INVALID_REQUEST"):  # empty text: refused, and consumed all the same
+        s.promote("s", 3, 32, namespace="n")
+    with pytest.raises(EngineError, match="NOT_FOUND"):
+        s.promote("s", 2, 10 + 3_600_000)
+    assert [r.local_id for r in s.working(33).where("session_id = 's'").collect()] == [2]
+
+
+def test_tokens(spark):
+    t, made = access.added(access.token_table(spark, [("s1", "ns", "ro")]), scope="admin", namespace="ignored")
+    assert len(made) == 64 and access.resolve(t, made) == (None, "admin") and access.resolve(t, "s1") == ("ns", "ro")
+    t = access.revoked(t, access.hashed("s1")[:12])
+    assert [tuple(r) for r in access.listed(t).collect()] == [(access.hashed(made)[:12], None, "admin")]
+    for bad in ({"scope": "rw"}, {"namespace": "a b"}, {"namespace": "a", "scope": "all"}):
+        with pytest.raises(EngineError, match="INVALID_REQUEST"):
+            access.added(t, "x", **bad)
+    with pytest.raises(EngineError, match="NOT_FOUND"):
+        access.revoked(t, "nothing")
+
+
+def test_follower_resets(spark, tmp_path):
+    s = MemoryStore(spark, str(tmp_path / "store"))
+    s.insert([{"data": "one"}, {"data": "two"}], now=1)
+    kind, target = s.versions().schema, str(tmp_path / "replica")
+    for _ in range(2):
+        follow.follow(spark, s._log(), target, str(tmp_path / "cursor"), kind, s.generation).awaitTermination()
+    assert sorted(r.data for r in follow.followed(spark, target, kind, 0).collect()) == ["one", "two"]
+    s.delete(1, 2)
+    s.compact(force=True)
+    follow.follow(spark, s._log(), target, str(tmp_path / "cursor"), kind, s.generation).awaitTermination()
+    assert [r.data for r in follow.followed(spark, target, kind, s.generation).collect()] == ["two"] and s.generation == 1
+
+
 def test_binary_log(spark, tmp_path):
     r = {"id": 7, "type": "semantic", "created": 1, "updated": 2, "importance": 0.5, "tags": ["a", "b"], "vectors": [[1.0, 2.0]], "relationships": [(7, 8, None)], "data": "hé", "agent_id": None}
     frames = [binlog.frame(binlog.encode(r | {"id": i})) for i in range(3)]
@@ -69,35 +131,21 @@ def test_access(spark):
     assert access.refused("search", ("ns", "rw"), rate_ok=False) == "RATE_LIMITED" and access.refused("ping", None) is None and access.refused("traverse", (None, "admin"), phase=2) == "NOT_READY"
 
 
-def test_embedder():
-    v = hashing("deploy the service", 16)
-    assert abs(sum(x * x for x in v) - 1) < 1e-9 and hashing("", 4) == [1.0, 0, 0, 0]
-
-
-def test_bucket():
-    b = working.Bucket(1.0, 2.0)
-    assert [b.allow(t) for t in (1_000_000, 1_000_000, 1_000_000, 2_000_000, 2_000_001)] == [True, True, False, True, False]
-
-
-def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([("s", i, f"d{i}", i * 10) for i in range(6)], "session_id string, local_id long, data string, created long")
-    assert sorted(r.local_id for r in working.last_n(rows, 4).collect()) == [2, 3, 4, 5]
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = working.ring_stream(stream, 4).writeStream.format("memory").queryName("ring").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r.local_id for r in spark.table("ring").collect()) == [2, 3, 4, 5]
-    req = spark.createDataFrame([("a", 1_000_000 + i, i) for i in range(4)], "agent_id string, at_us long, seq long")
-    assert working.bucket_batch(req, 0.1, 2.0).where("allowed").count() == 2
-    req.write.parquet(str(tmp_path / "req"))
-    q = working.bucket_stream(spark.readStream.schema(req.schema).parquet(str(tmp_path / "req")), 0.1, 2.0).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("bucket").where("allowed").count() == 2
-
-
-def test_follow(spark, tmp_path):
-    v = spark.createDataFrame([(1, 1), (2, 2)], "id long, seq long")
-    v.write.parquet(str(tmp_path / "log"))
-    for _ in range(2):
-        follow.follow(spark, str(tmp_path / "log"), str(tmp_path / "copy"), str(tmp_path / "cp"), v.schema).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "copy")).count() == 2
+def test_embedders():
+    assert abs(sum(x * x for x in hashing("deploy the service", 16)) - 1) < 1e-9 and hashing("", 4) == [1.0, 0, 0, 0] == subword("a", 4)
+    h = lambda text, salt: functools.reduce(lambda a, c: (a ^ c) * 1099511628211 & (1 << 64) - 1, f"{salt}\0{text}".encode(), 1469598103934665603)
+    names = ["deploy", "x", "straße", "^de"]
+    assert hashes([n.encode() for n in names], b"tb").tolist() == [h(n, "tb") for n in names]
+    v = np.zeros(32)
+    v[h("deploys", "b") % 32] += 1 if h("deploys", "s") & 1 else -1
+    assert np.allclose(hashing("Deploys!", 32), v)
+    for i in range(7):
+        g = "^deploys$"[i : i + 3]
+        v[h(g, "tb") % 32] += 0.5 if h(g, "ts") & 1 else -0.5
+    assert np.allclose(subword("deploys", 32), v / np.linalg.norm(v))
+
+
+def test_model_replies():
+    assert capture.parsed_reply('```json\n["one ", "One", {"text": "two", "tags": ["t"]}, 3, {"fact": "no"}]\n```') == [{"text": "one"}, {"text": "two", "tags": ["t"]}]
+    assert capture.parsed_reply('Here: ["a"] as asked') == [{"text": "a"}] == capture.parsed_reply('{"facts": ["a"]}')
+    assert capture.parsed_reply("none") == [] == capture.parsed_reply(None) == capture.parsed_reply("[1") and len(capture.parsed_reply(json.dumps([str(i) for i in range(30)]))) == 12
