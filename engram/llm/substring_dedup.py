@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import add_columns, arrow_map, cut, longs, partitions, prepare, quoted, texts, widened, word_hashes, written
+from .common import add_columns, arrow_map, cut, longs, partitions, prepare, quoted, release, texts, widened, word_hashes, written
 from .fm_index import FMIndex
 from .line_dedup import _NONE, _ids
 
@@ -271,10 +271,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = pair.mapInArrow(_found, "k long, g long, doc long, first int, windows int, sure boolean").repartition(partitions(spark), "k").sortWithinPartitions("k")
     found = found.mapInArrow(_again, "g long, doc long, first int, windows int").join(copies.select("doc"), "doc", "left_anti")
     found = cut(found.select("g", "doc", "first", "windows"))
+    release(spark)  # the shuffle of all segments
     total = found.count()
     hot = {r.g for r in found.groupBy("g").count().where(F.col("count") >= max(1000, total // HOT + 1)).select("g").collect()}  # at most HOT
     mine = found.groupBy("doc").agg(F.collect_list(F.struct("g", "first", "windows")).alias("found"))  # at most a document's windows
     flagged = written(pair.join(mine, "doc"), "flagged")
+    release(spark)  # the shuffle of texts
     shards = max(partitions(spark), total * (WINDOW + 10) // SHARD_WORDS + 1)  # a task holds one at a time
     dealt = flagged.select("doc", "text", "found").mapInArrow(_dealt(shards, hot), _SENT).repartition(partitions(spark), "shard").sortWithinPartitions("shard")
     gone = dealt.mapInArrow(_searched, "doc long, start int, end int").groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias(cuts))
