@@ -404,6 +404,35 @@ def test_html(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+NAMED = [
+    ('<article class="post"><div class="post-header"><h1>The heading of it</h1></div><p>Some prose that stands here, as long as it is.</p></article>', "The heading of it Some prose that stands here, as long as it is."),
+    ('<article><p>Some prose that stands here, as long as it is.</p><div class="social-commentary"><p>More of the prose, and of the same kind.</p></div></article>', "Some prose that stands here, as long as it is. More of the prose, and of the same kind."),
+    ('<div class="legal-news-story"><article><h1>On law</h1><p>Some prose that stands here, as long as it is.</p></article></div>', "On law Some prose that stands here, as long as it is."),
+    ('<div class="content no-sidebar" style="overflow:hidden" title="a hidden gem"><p>Some prose that stands here, as long as it is.</p><p>More of it, and as long.</p></div><div class="sidebar"><p>Read this other thing, it is good.</p></div>', "Some prose that stands here, as long as it is. More of it, and as long."),
+    ('<div><ul><li><a href="a">Home page</a></li><li><a href="b">All of the news</a></li><li><a href="c">Contact</a></li></ul><p>' + "</p><p>".join(f"Paragraph {i} of a page without any names, and long enough for it." for i in range(5)) + '</p></div><div hidden><p>Not to be seen by anyone, never.</p></div><div style="display: none"><p>Nor this one, as long as it is.</p></div>', " ".join(f"Paragraph {i} of a page without any names, and long enough for it." for i in range(5))),
+    ('<div class="promo"><div class="inner">' + "".join(f"<p>Prose {i} that a wrapper's name does not take away, long enough, and more of it.</p>" for i in range(60)) + "</div></div>", " ".join(f"Prose {i} that a wrapper's name does not take away, long enough, and more of it." for i in range(60))),
+    ('<main><p>Some prose that stands here, as long as it is.</p></main><div id="comments">' + "".join(f"<div class='comment'><p>I think so too, number {i}, and I say so at length here.</p></div>" for i in range(30)) + "</div>", "Some prose that stands here, as long as it is."),
+]
+
+
+@pytest.mark.parametrize("html, want", NAMED)
+def test_html_names(html, want):
+    assert html_extract.main_text(f"<html><body>{html}</body></html>")[0] == want
+
+
+def test_html_cut_decides(spark, sf):
+    """On the tables the cut turns the labels of many blocks: prose in adverts and footers, short items of articles."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_extract.fit_blocks(pages)
+    assert weights != html_extract.PLAIN and weights[2] < 0 < weights[1]
+    r = html_extract.extract_text(pages, weights=weights).agg(F.sum("n_turned").alias("t"), F.sum("n_blocks").alias("n"), F.min("n_chars").alias("low")).first()
+    assert r.t > 0.02 * r.n and r.low > 0
+    for row in pages.collect():
+        whole = html_extract.main_text(row.html, weights)[0]
+        parts = [b.text for b in html_extract.blocks(row.html) if b.box.main]  # these pages have one article, with nothing else in it
+        assert whole == " ".join(parts)
+
+
 def test_minimum_cut():
     rng = random.Random(9)
     for _ in range(150):
