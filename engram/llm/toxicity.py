@@ -4,8 +4,9 @@ Log-odds of tokens come from labelled documents, smoothed by Dirichlet priors in
 is the class share of its longest known beginning, and that of a beginning is the base rate. Less a constant drift,
 tokens of clean text have a negative mean, so that segment scores obey extreme-value theory (lambda from the score
 distribution, K by the mean of clean documents' maxima). A linear scan finds every maximal scoring segment of a
-text; a segment's normalised score is lambda * S - ln(K * n), and a document's largest is calibrated to a
-probability.
+text; a segment's normalised score is lambda * S - ln(K * n). A document's evidence is the sum statistic of its segments:
+the largest sum of its r best normalised scores less ln r!, so that every significant passage adds to it. The evidence is
+calibrated to a probability; texts without any segment have the rate of label 1 among such texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import add_columns, arrow_map, cut, prepare, quoted, widened
 TOKEN = re.compile(r"[^\W_]+")
 #: Bounds of the model, whatever the input: labelled rows (expected), kept tokens, characters of beginnings, prior weight, drift.
 SAMPLE_ROWS, KEPT, BEGINNINGS, WEIGHT, DRIFT = 20_000, 40_000, (4, 5, 6), 8.0, 1.5
-#: Tokens by which a text counts as longer than it is, so that a weak token does not decide a short one; a long text's tokens.
-SHORT, LONG = 50, 1000
+#: Tokens by which a text counts as longer than it is, so that a weak token does not decide a short one.
+SHORT = 50
 _MEMO = 400_000
 
 
@@ -36,6 +37,7 @@ class Model:
         self.counts, self.prior = counts, prior
         self.base = (n1 + 0.5) / (n0 + n1 + 1)
         self.lam, self.log_k, self.slope, self.shift, self.memo = 1.0, 0.0, 1.0, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), {}
+        self.without = prior  # the probability of texts without a segment
 
     def share(self, key: str, above: float) -> float:
         c = self.counts.get(key)
@@ -63,14 +65,19 @@ class Model:
     def normalised(self, score: float, n: int) -> float:
         return self.lam * score - self.log_k - math.log(n + SHORT)
 
-    def largest(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        return self.evidence(max([0.0, *(s[2] for s in segments)]), n)
-
-    def evidence(self, score: float, n: int) -> float:
-        """The normalised score of a document's best segment; without a segment, that of a long clean text."""
-        return self.normalised(score, n if score > 0 else max(n, LONG))
-
-    def probability(self, z: float) -> float:
+    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float | None:
+        """The sum statistic of a document's segments; None without any."""
+        best, total = None, 0.0
+        for r, s in enumerate(sorted((s[2] for s in segments), reverse=True), 1):
+            total += self.normalised(s, n) - math.log(r)
+            best = total if best is None or total > best else best
+            if total < best - 50:
+                break  # further ones are smaller still
+        return best
+
+    def probability(self, z: float | None) -> float:
+        if z is None:
+            return self.without
         x = self.shift + self.slope * z
         return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
 
@@ -125,17 +132,27 @@ def _train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sampl
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    hist = arrow_map(sample.where("toxic = 0"), lambda b: _histogram(shared.value, b), "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).collect()
+    model.lam = decay(np.array([r.x for r in hist]) / 100, np.array([r.c for r in hist], float))
+    lam = model.lam
+
     def maxima(b: pa.RecordBatch) -> dict:
-        out = []
-        for text in b.column(1).to_pylist():
-            segments, n = shared.value.segments(text or "")
-            out.append((max([0.0, *(s[2] for s in segments)]), n))
-        return {"y": b.column(2).cast(pa.int32()), "s": pa.array([x[0] for x in out], pa.float64()), "n": pa.array([x[1] for x in out], pa.int64())}
+        out = [(max([0.0, *(s[2] for s in segments)]), n) for segments, n in map(shared.value.segments, (t or "" for t in b.column(1).to_pylist()))]
+        return {"x": pa.array([lam * s - math.log(n + SHORT) for s, n in out if n], pa.float64())}
 
-    got = arrow_map(sample, maxima, "y int, s double, n long").toPandas()  # three numbers for each row of the sample
-    hist = arrow_map(sample.where("toxic = 0"), lambda b: _histogram(shared.value, b), "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).collect()
-    calibrate(model, got.y.to_numpy(), got.s.to_numpy(), got.n.to_numpy(), np.array([r.x for r in hist]) / 100, np.array([r.c for r in hist], float))
+    mean = arrow_map(sample.where("toxic = 0"), maxima, "x double").agg(F.avg("x")).first()[0]
+    model.log_k = (mean or 0.0) - 0.5772156649  # mean of a Gumbel variable
+    lam, log_k = model.lam, model.log_k
+
+    def evidence(b: pa.RecordBatch) -> dict:
+        m = shared.value
+        m.lam, m.log_k = lam, log_k
+        return {"y": b.column(2).cast(pa.int32()), "z": pa.array([m.evidence(*m.segments(t or "")) for t in b.column(1).to_pylist()], pa.float64())}
+
+    got = arrow_map(sample, evidence, "y int, z double").toArrow()  # two numbers for each row of the sample
+    calibrate(model, got["y"].to_numpy().astype(float), got["z"].to_numpy())
     model.memo = {}
+    shared.destroy()
     return model
 
 
@@ -148,20 +165,24 @@ def _histogram(model: Model, b: pa.RecordBatch) -> dict:
     return {"x": pa.array(list(held), pa.int64()), "c": pa.array(list(held.values()), pa.int64())}
 
 
-def calibrate(model: Model, y: np.ndarray, s: np.ndarray, n: np.ndarray, x: np.ndarray, c: np.ndarray) -> None:
-    """lambda with sum p * exp(lambda x) = 1 over clean tokens' scores x, K from the mean of clean maxima, then a logistic curve."""
-    if len(x) and (x > 0).any() and (x * c).sum() < 0:
-        p, low, high = c / c.sum(), 1e-3, 1.0
-        while (p * np.exp(np.minimum(high * x, 700))).sum() < 1 and high < 64:
-            high *= 2
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if (p * np.exp(np.minimum(mid * x, 700))).sum() < 1 else (low, mid)
-        model.lam = high
-    clean = (y == 0) & (n > 0)
-    if clean.any():
-        model.log_k = float(np.mean(model.lam * s[clean] - np.log(n[clean] + SHORT)) - 0.5772156649)  # mean of a Gumbel variable
-    z = np.array([model.evidence(a, b) for a, b in zip(s, n, strict=True)])
+def decay(x: np.ndarray, c: np.ndarray) -> float:
+    """lambda with sum p * exp(lambda x) = 1 over clean tokens' scores x, which occur c times."""
+    if not len(x) or not (x > 0).any() or (x * c).sum() >= 0:
+        return 1.0
+    p, low, high = c / c.sum(), 1e-3, 1.0
+    while (p * np.exp(np.minimum(high * x, 700))).sum() < 1 and high < 64:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (p * np.exp(np.minimum(mid * x, 700))).sum() < 1 else (low, mid)
+    return high
+
+
+def calibrate(model: Model, y: np.ndarray, z: np.ndarray) -> None:
+    """A logistic curve over the evidence z; where it is nan, the smoothed rate of label 1."""
+    none = np.isnan(z)
+    model.without = float((y[none].sum() + model.prior) / (none.sum() + 1))
+    y, z = y[~none], z[~none]
     a, b = 0.0, model.shift
     for _ in range(50):  # Newton steps of a logistic regression with a weak normal prior
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -174,7 +195,7 @@ def calibrate(model: Model, y: np.ndarray, s: np.ndarray, n: np.ndarray, x: np.n
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on about sample_rows labelled rows (all, if fewer). labels: id_col and toxic; null labels are left out, and an
+    """Fits on about sample_rows labelled rows (all, if fewer); of their tokens the KEPT most telling are the model's. labels: id_col and toxic; null labels are left out, and an
     id with several labels is toxic if one of them is. Without both classes the model scores every text alike, by the
     smoothed rate of label 1."""
     prepare(docs.sparkSession)
@@ -194,7 +215,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", eviden
         m, score, passages = shared.value, [], []
         for text in batch.column(batch.schema.names.index(text_col)).cast(pa.string()).to_pylist():
             found, n = m.segments(text or "")
-            score.append(m.probability(m.largest(found, n)))
+            score.append(m.probability(m.evidence(found, n)))
             passages.append([{"first": a, "end": b, "score": s, "z": z} for a, b, s in found if (z := m.normalised(s, n)) > evidence])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("z", pa.float64())]))
         return add_columns(batch, score=pa.array(score, pa.float64()), predicted=pa.array([int(s >= 0.5) for s in score], pa.int32()), passages=pa.array(passages, kind))
@@ -203,7 +224,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", eviden
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out (false for a null id), score, predicted, n_passages. Cases are those
+    of score_toxicity."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.read(spark, sf_dir, "labels").where(common.fold(F.col("doc_id"), 5) != 0)
     out = score_toxicity(docs, fit_toxicity(docs, labels))
-    return out.select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(common.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
