@@ -1,12 +1,14 @@
 """LM scoring with a hashed maximum-entropy model.
 
 Counts of every token of the training documents are gathered in one pass, and how often each of the most frequent
-ones follows each of a few groups of words, over all of its occurrences, in a second. The most frequent tokens fall into classes of like contexts (k-means), all others
-into a last class. The class of the next token is predicted by a softmax over hashed features: the word before, the
-word before that (a skip), and both together; within a class a token has its share of the counts. The features'
-weights learn by distributed gradient updates: each partition takes adaptive steps over small batches of tokens
-from the shared weights, and the changes are averaged. Texts are scored in numpy batches that touch only the rows
-of features that occur.
+ones follows each of a few groups of words, over all of its occurrences, in a second. The most frequent tokens fall into
+classes of like contexts (k-means), all others into a last class. The class of the next token is predicted by a softmax over
+hashed features: the word before, the word before that (a skip), and both together. Within a class a second softmax over
+the same features, hashed with the class, predicts the member: its most frequent tokens are members of their own, the
+others share a few members in bands of frequency; within a band, and in the last class, a token has its share of counts.
+The features' weights learn by distributed gradient updates: in each of some rounds over growing slices of the
+documents, each partition takes adaptive steps over small batches of tokens from the shared weights, and the changes are
+averaged. Texts are scored in numpy batches that touch only the rows of features that occur.
 
 Counts of tokens beyond the most frequent ones, which no broadcast can hold, are joined to the texts by token.
 """
@@ -26,8 +28,11 @@ from .common import arrow_map, cut, prepare, quoted, texts, word_hashes
 
 #: Bounds, whatever the input: counts that are broadcast, tokens with a class, classes, groups of contexts, feature rows of a kind.
 HEAD, CLASSED, CLASSES, GROUPS, ROWS, KINDS = 1 << 18, 1 << 14, 32, 16, 1 << 13, 3
-#: Training: tokens of a step, step size, rounds over the documents, weights in a row that is sent.
-STEP, RATE, ROUNDS, SENT = 16384, 0.35, 1, 1 << 15
+#: Members of a class, those of them that are one token, feature rows of a kind for members.
+MEMBERS, SINGLE, INNER = 32, 24, 1 << 14
+#: Training: tokens of a step, step size, weights in a row that is sent, and the slices of all documents (sixteenths) of the
+#: rounds: every document is in one of them.
+STEP, RATE, SENT, ROUNDS = 16384, 0.35, 1 << 15, ((0, 1), (1, 5), (5, 16))
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, as a hash
 _START = np.uint64(0x14057B7EF767814F)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -60,11 +65,50 @@ def _before(h: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def features(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weights for each token: word before, skip, pair."""
+def contexts(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each token's features: word before, skip, pair."""
     a, b = _before(h, ends, 1), _before(h, ends, 2)
+    return [a, b * np.uint64(3) + np.uint64(1), (a ^ (b * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(5)]
+
+
+def features(c: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of the classes' weights."""
     top = np.uint64(64 - ROWS.bit_length() + 1)
-    return [((x * _M) >> top).astype(np.uint16) for x in (a, b * np.uint64(3) + np.uint64(1), (a ^ (b * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(5))]
+    return [((x * _M) >> top).astype(np.uint16) for x in c]
+
+
+def inner_features(c: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
+    """Rows of the members' weights: features hashed with the class."""
+    top, salt = np.uint64(64 - INNER.bit_length() + 1), (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return [(((x ^ salt) * _M) >> top).astype(np.uint16) for x in c]
+
+
+def _updated(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], width: int, x: np.ndarray) -> None:
+    """A step along x, the gradient by the logits of each token: rows that occur, scaled by their past squares."""
+    for k, f in enumerate(rows):
+        order = np.argsort(f, kind="stable")
+        f = f[order]
+        first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+        grad = np.add.reduceat(x[order], first, axis=0)
+        grad /= np.sqrt(np.diff(np.r_[first, len(f)]))[:, None].astype(np.float32)
+        at = f[first].astype(np.int32) + k * width
+        squares[at] += grad * grad
+        weights[at] += RATE * grad / np.sqrt(squares[at] + 1)
+
+
+def _errors(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The gradient of the log probability of outcome `of` by logits x, which it replaces."""
+    x -= x.max(axis=1)[:, None]
+    np.exp(x, out=x)
+    x /= -x.sum(axis=1)[:, None]
+    x[np.arange(len(x)), of] += 1
+    return x
+
+
+def _logs(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of logits x at outcome `of`."""
+    top = x.max(axis=1)
+    return x[np.arange(len(x)), of] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +197,25 @@ class Model:
         n_rest, v_rest = n - mass.sum(), v - len(classed)
         self.below = float(n_rest + v_rest + 1)  # the last class: add-one, with one place for all unseen tokens
         inside = np.log((c + 1) / self.below)
-        inside[at] = np.log(count[at] / mass[own]) if len(own) else 0
+        self.member = np.zeros(len(head) + 1, np.int32)
+        self.inner_bias = np.full((k, MEMBERS), -30.0, np.float32)
+        for j in range(k):  # the most frequent tokens are members of their own, the others share some by frequency
+            mine = at[own == j]
+            mine = mine[np.lexsort((mine, -count[mine]))]
+            place = np.arange(len(mine))
+            more = count[mine[SINGLE:]].astype(float)
+            if len(more):
+                place[SINGLE:] = SINGLE + ((np.cumsum(more) - more) / more.sum() * (MEMBERS - SINGLE)).astype(int)
+            self.member[mine] = place
+            weight = np.bincount(place, count[mine], MEMBERS)
+            some = weight > 0
+            self.inner_bias[j, some] = np.log(weight[some] / mass[j])
+            inside[mine] = np.log(count[mine] / weight[place])
         self.inside = inside.astype(np.float32)
         prior = np.append(mass, self.below)
         self.bias = np.log(prior / prior.sum()).astype(np.float32)
         self.weights = np.zeros((KINDS * ROWS, k + 1), np.float32)
+        self.inner = np.zeros((KINDS * INNER, MEMBERS), np.float32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in head; len(head) where a token is not there."""
@@ -173,54 +231,61 @@ class Model:
         x += self.bias
         return x
 
-    def class_scores(self, f: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+    def inner_logits(self, f: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+        x = self.inner[f[0].astype(np.int32)]
+        for k in range(1, KINDS):
+            x += self.inner[f[k].astype(np.int32) + k * INNER]
+        x += self.inner_bias[cls]
+        return x
+
+    def class_scores(self, c: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each token's class."""
-        out = np.empty(len(cls))
+        out, f = np.empty(len(cls)), features(c)
         for i in range(0, len(cls), STEP):
-            x = self.logits([g[i : i + STEP] for g in f])
-            got = x[np.arange(len(x)), cls[i : i + STEP]]
-            top = x.max(axis=1)
-            out[i : i + STEP] = got - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+            out[i : i + STEP] = _logs(self.logits([g[i : i + STEP] for g in f]), cls[i : i + STEP])
+        return out
+
+    def member_scores(self, c: list[np.ndarray], cls: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each token's member in its class; 0 in the last class."""
+        out, on = np.zeros(len(cls)), np.flatnonzero(cls < self.rest)
+        for i in range(0, len(on), STEP):
+            at = on[i : i + STEP]
+            out[at] = _logs(self.inner_logits(inner_features([x[at] for x in c], cls[at]), cls[at]), member[at])
         return out
 
-    def train(self, f: list[np.ndarray], cls: np.ndarray, squares: np.ndarray) -> None:
-        """A step for each STEP tokens: gradients of the rows that occur, scaled by their past squares."""
+    def train(self, c: list[np.ndarray], cls: np.ndarray, member: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
+        """A step for each STEP tokens, of the classes' weights and of the members'."""
+        f = features(c)
         for i in range(0, len(cls), STEP):
             g = [x[i : i + STEP] for x in f]
-            x = self.logits(g)
-            x -= x.max(axis=1)[:, None]
-            np.exp(x, out=x)
-            x /= -x.sum(axis=1)[:, None]
-            x[np.arange(len(x)), cls[i : i + STEP]] += 1
-            for k, rows in enumerate(g):
-                order = np.argsort(rows, kind="stable")
-                rows = rows[order]
-                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                grad = np.add.reduceat(x[order], first, axis=0)
-                grad /= np.sqrt(np.diff(np.r_[first, len(rows)]))[:, None].astype(np.float32)
-                at = rows[first].astype(np.int32) + k * ROWS
-                squares[at] += grad * grad
-                self.weights[at] += RATE * grad / np.sqrt(squares[at] + 1)
+            _updated(self.weights, squares[0], g, ROWS, _errors(self.logits(g), cls[i : i + STEP]))
+        on = np.flatnonzero(cls < self.rest)
+        for i in range(0, len(on), STEP):
+            at = on[i : i + STEP]
+            g = inner_features([x[at] for x in c], cls[at])
+            _updated(self.inner, squares[1], g, INNER, _errors(self.inner_logits(g, cls[at]), member[at]))
 
 
 def _learned(model: Model, train: DataFrame) -> np.ndarray:
-    """The mean of the partitions' changes of the weights; each partition takes its steps over its own documents."""
+    """The mean of the partitions' changes of all weights; each partition takes its steps over its own documents."""
     shared = train.sparkSession.sparkContext.broadcast(model)
-    width, size = model.weights.shape[1], model.weights.size
+    size = model.weights.size + model.inner.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = shared.value
-        start, squares, seen = m.weights, np.zeros_like(m.weights), 0
-        m.weights = start.copy()
+        start, squares, seen = (m.weights, m.inner), (np.zeros_like(m.weights), np.zeros_like(m.inner)), 0
+        m.weights, m.inner = (w.copy() for w in start)
         for b in batches:
             some = texts(b.column(0))
             for i in range(0, len(some), 500):
                 h, ends = _joined(some[i : i + 500])
-                m.train(features(h, ends), m.cls[m.find(h)], squares)
+                at = m.find(h)
+                m.train(contexts(h, ends), m.cls[at], m.member[at], squares)
                 seen += len(h)
-        change, m.weights = (m.weights - start).ravel() * seen, start
+        change = np.concatenate([(m.weights - start[0]).ravel(), (m.inner - start[1]).ravel()]) * seen
+        m.weights, m.inner = start
         part = TaskContext.get().partitionId()
         if seen:
             for at in range(0, size, SENT):
@@ -242,7 +307,8 @@ def _learned(model: Model, train: DataFrame) -> np.ndarray:
     for r in rows:
         w = np.frombuffer(r.w, np.float32)
         out[r["at"] : r["at"] + len(w)] = w / r.n
-    return out.reshape(-1, width).astype(np.float32)
+    shared.destroy()
+    return out.astype(np.float32)
 
 
 def _iterated(f):
@@ -253,7 +319,8 @@ def _iterated(f):
 
 
 def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the counts (h, n) of all training tokens, from every row of train."""
+    """The model and the counts (h, n) of all training tokens, from every row of train. Null and empty texts are one token, the
+    end; rows that repeat count each. An empty table gives a model that knows no token."""
     prepare(train.sparkSession)
     text = train.select(F.col(quoted(text_col)).cast("string").alias("text"))
     counts = cut(text.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
@@ -289,8 +356,11 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     else:
         own = np.zeros(0, np.int64)
     model = Model(head, count, names, own, int(n), int(v))
-    for _ in range(ROUNDS if n else 0):
-        model.weights = model.weights + _learned(model, text)
+    slice_ = F.pmod(F.xxhash64("text", F.lit("round")), F.lit(16))
+    for low, high in ROUNDS if n else ():
+        change, k = _learned(model, text.where((slice_ >= low) & (slice_ < high))), model.weights.size
+        model.weights = model.weights + change[:k].reshape(model.weights.shape)
+        model.inner = model.inner + change[k:].reshape(model.inner.shape)
     return model, counts
 
 
@@ -308,7 +378,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         starts = np.r_[0, ends[:-1]]
         at = m.find(h)
         cls = m.cls[at]
-        s = m.class_scores(features(h, ends), cls) / math.log(10) + m.inside[at].astype(float) / math.log(10)
+        c = contexts(h, ends)
+        s = (m.class_scores(c, cls) + m.member_scores(c, cls, m.member[at]) + m.inside[at]) / math.log(10)
         tail = at == len(m.head)  # their count is not known here: inside has them as unseen, the join adds log10(c + 1)
         c = np.append(m.count, 0)[at]
         base = np.log10(c + 1.0)
@@ -334,6 +405,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out (false for a null id), n_tokens, n_known, train_tokens, base_score,
+    score. Cases are those of fit and score."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     held: Column = F.coalesce(common.fold(F.col("doc_id"), 7) == 2, F.lit(False))
     model, counts = fit(docs.where(~held))
