@@ -161,23 +161,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last two columns are edges; what is held of them becomes stars."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Edges (k, u, v), dealt by k, which is u or v, become stars (u, v, moved). A node's edge comes from the task of its own
+    key; other tasks give it only where they know a smaller end. moved: this is not the edge that was there."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
-    def stars() -> tuple[np.ndarray, np.ndarray]:
-        return forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    def stars() -> pa.RecordBatch:
+        k, u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        child, root = forest(u, v)
+        at = np.searchsorted(child, u)  # each u is larger than its v, so that it has a root below it
+        stale = root[at] != v
+        home, old, new = np.zeros(len(child), bool), np.zeros(len(child), bool), np.zeros(len(child), bool)
+        home[at[k == u]], old[at], new[at[stale]] = True, True, True
+        moved = ~home | new
+        give = home | new | ~old
+        return pa.RecordBatch.from_pydict({"u": pa.array(child[give]), "v": pa.array(root[give]), "moved": pa.array(moved[give])})
 
     for batch in batches:
-        held.append(tuple(batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False) for k in (2, 1)))
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
         if (size := size + batch.num_rows) > HELD_EDGES:
-            held = [stars()]
-            if (size := len(held[0][0])) > HELD_EDGES // 2:
-                yield pa.RecordBatch.from_pydict({"u": pa.array(held[0][0]), "v": pa.array(held[0][1])})
-                held, size = [], 0
+            yield stars()
+            held, size = [], 0
     if held:
-        u, v = stars()
-        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+        yield stars()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -187,21 +193,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     when nothing changes (rounds grow with the logarithm of a path's length). Nodes
     with so many edges that they could fill a task are few: the driver looks up the parents of these only. Each round
     ends in a checkpoint; no round is left out."""
-    e, sign = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()), None
+    e = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct().withColumn("moved", F.lit(True)))
     spark, end = e.sparkSession, lambda k: F.struct(F.col(k).alias("k"), "u", F.when(F.lit(k) == "u", F.coalesce("above", "v")).otherwise(F.col("v")).alias("v"))
+    above: dict[int, int] = {}
     while True:
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if now == sign or not now["n"]:
+        n, moved = e.agg(F.count(F.lit(1)), F.count_if("moved")).first()
+        if not moved and all(v == m for v, m in above.items()):
             break
-        sign, n = now, now["n"]
-        often = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1000, n // HOT + 1))
-        above = {r.v: r.v for r in often.select("v").collect()}  # fewer than HOT
+        above = {}
+        if n >= 1000:
+            often = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1000, n // HOT + 1))
+            above = {r.v: r.v for r in often.select("v").collect()}  # fewer than HOT
         if above:  # edges to a hot node go to its own parent at once and are not gathered
             above |= {r.u: r.m for r in e.where(F.col("u").isin(list(above))).groupBy("u").agg(F.min("v").alias("m")).collect()}
             ends = e.join(F.broadcast(spark.createDataFrame(list(above.items()), "v long, above long")), "v", "left")
         else:
             ends = e.withColumn("above", F.lit(None).cast("long"))
         both = ends.select(F.explode(F.when(F.col("above").isNull(), F.array(end("u"), end("v"))).otherwise(F.array(end("u")))).alias("e"))
-        e = cut(both.select("e.k", "e.u", "e.v").repartition(n // 100_000 + 1, "k").mapInArrow(_contracted, "u long, v long").distinct())
+        e = cut(both.select("e.k", "e.u", "e.v").repartition(n // 100_000 + 1, "k").mapInArrow(_contracted, "u long, v long, moved boolean"))
         release(spark)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct().toDF("node", "component"))

@@ -25,7 +25,7 @@ from . import common
 from .common import arrow_map, connected_components, cut, prepare
 from .vectors import doubles, matrix
 
-SIMILARITY, BUCKET, MISS, AT_ONCE, BLOCK, SEED = 0.98, 16, 1e-6, 6, 1024, 20
+SIMILARITY, BUCKET, MISS, AT_ONCE, BLOCK, SEED = 0.98, 16, 1e-6, 24, 1024, 20
 WINDOW, BITS, SKETCH = 48, 62, 256
 
 
