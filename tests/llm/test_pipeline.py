@@ -13,6 +13,6 @@ def test_pipeline(spark, sf):
     assert set(docs.columns) < set(out.columns) and 0 < len(rows) < n and len({r.doc_id for r in rows}) == len(rows)
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
     kept = {r.doc_id for r in rows}
-    assert len(kept & toxic) <= 0.35 * len(toxic) and all(len(r.token_ids) == r.n_tokens for r in rows)
+    assert len(kept & toxic) <= 0.1 * len(toxic) and all(len(r.token_ids) == r.n_tokens for r in rows)
     again = minhash.near_duplicates(out.select("doc_id", "text")).where("doc != component").count()
     assert again == 0
