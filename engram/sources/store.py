@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checkpoints import cut
-from ..operators import capture, filters, graph, maintain, search, temporal
+from ..operators import capture, filters, graph, maintain, recall, search, temporal
 from ..operators.lexicon import Lexicon
 from ..operators.search import SearchParams
 from ..schema import BATCH_MAX, PAGE, PAGE_MAX, RING, RING_TTL, VERSIONS, EngineError, rejection
@@ -131,6 +131,13 @@ class MemoryStore:
             self.record_recall(hits, params.now)
         return hits
 
+    def recall(self, params: SearchParams, similar: float = 0.0, per_memory: int = 500, budget: int = 2000) -> str:
+        """The context of a query: its hits, without those close to a better one, as lines within a budget; empty without hits."""
+        hits = cut(numbered(self.search(params).withColumn("__order", F.struct((-F.col("score")).alias("s"), "id")), "__order", "rank").withColumns({"query_id": F.lit(0), "vec": F.get("embedding", F.lit(0))}))
+        kept = recall.suppressed(hits.select("query_id", "rank", "id", "vec"), similar).select("id")
+        row = recall.context(hits.join(kept, "id"), per_memory=per_memory, budget=budget).first()
+        return row.context if row else ""
+
     def count(self, params: SearchParams) -> DataFrame:
         return search.count(self.current(), params)
 

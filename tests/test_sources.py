@@ -2,6 +2,8 @@
 
 import functools
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from engram.functions.embed import hashes, hashing, subword
 from engram.operators import capture
 from engram.operators.search import SearchParams
 from engram.schema import EngineError
-from engram.sources import access, binlog, lines
+from engram.sources import access, binlog, lines, service
 from engram.sources.store import MemoryStore
 from engram.streaming import follow, working
 
@@ -114,6 +116,37 @@ def test_binary_log(spark, tmp_path):
     assert [x.id for x in spark.read.format("memlog").load(str(tmp_path / "a.log")).orderBy("offset").collect()] == [0, 1, 2]
 
 
+def test_logs_anywhere_and_of_the_first_version(spark, tmp_path):
+    r = {"id": 1, "type": "semantic", "data": "x", "tags": ["t"]}
+    payloads = [binlog.encode(r | {"id": i}) for i in range(3)]
+    (tmp_path / "a.log").write_bytes(b"".join(map(binlog.frame, payloads)))
+    old = b"".join(struct.pack("<II", zlib.crc32(p), len(p)) + p for p in payloads)
+    (tmp_path / "b.old").write_bytes(old + struct.pack("<II", 5, 3) + b"bad" + old)
+    (tmp_path / "c.log").write_bytes(b"")
+    assert [(x.id, x.status, x.tags) for x in binlog.logs(spark, str(tmp_path / "*.log")).orderBy("offset").collect()] == [(i, "good", ["t"]) for i in range(3)]
+    assert [x.id for x in binlog.logs(spark, str(tmp_path / "b.old"), first_version=True).orderBy("offset").collect()] == [0, 1, 2]
+
+
+def test_service(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "store"))
+    s = service.Service(store, [("boss", None, "admin"), ("me", "n", "rw"), ("eyes", "n", "ro")])
+    do = lambda op, token="me", **k: s.handle({"operation": op, "token": token} | k, 100)
+    assert do("ping", None) == {"ok": True, "pong": True} and do("insert", "eyes", data="x")["error"] == "FORBIDDEN" and do("insert", "who", data="x")["error"] == "UNAUTHORIZED"
+    assert do("insert", data="a fact of mine", type="semantic", embedding=[1.0, 0.0], request_id="7") == {"ok": True, "inserted": 1, "request_id": "7"}
+    assert do("insert", data="")["error"] == "INVALID_REQUEST" and do("insert", records=[{"data": "another fact"}, {"data": ""}])["inserted"] == 1
+    assert do("get", id=1)["record"]["data"] == "a fact of mine" and do("get", id=9)["error"] == "NOT_FOUND" and do("get")["error"] == "INVALID_REQUEST"
+    assert [h["id"] for h in do("search", query="fact", top_k=5)["hits"]] == [2, 1] and do("count", type="semantic")["n"] == 1
+    assert do("relate", id=1, to_id=2, kind="k")["ok"] and [n["id"] for n in do("traverse", id=1)["nodes"]] == [1, 2]
+    assert do("token_list")["error"] == "FORBIDDEN" and len(do("token_list", "boss")["tokens"]) == 3
+    new = do("token_add", "boss", namespace="n")
+    assert do("get", new["token"], id=1)["ok"] and do("token_revoke", "boss", id=new["id"])["revoked"] and do("get", new["token"], id=1)["error"] == "UNAUTHORIZED"
+    got = do("stats", "boss")
+    assert (got["records"], got["tombstones"], got["lexical_docs"], got["working"]) == (2, 0, 2, 0) and got["errors"] >= 5 and got["requests"] > 10
+    assert [json.loads(x)["ok"] for x in s.lines(['{"operation": "ping"}', "no", "[1]", '{"operation": "nope"}'], 1)] == [True, False, False, False]
+    assert store.recall(SearchParams(query="fact", now=100)).split("\n")[1:] == ["- [#2] another fact", "- [#1] a fact of mine"] and store.recall(SearchParams(query="zzz", now=100)) == ""
+    assert service.main(["gen-token"]) == 0 and service.main([]) == 2
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('"plain"\n{"text": "t"}\n{"message": {"content": [{"text": "deep"}, "s"]}}\nnot json\n')
     assert [r.text for r in lines.transcripts(spark, str(tmp_path / "t.jsonl")).orderBy("line", "pos").collect()] == ["plain", "t", "deep", "s", "not json"]
