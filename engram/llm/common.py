@@ -141,6 +141,38 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACE.encode())] = True
+_BYTES = np.random.default_rng(97).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)  # a number for each byte
+_LOWER = _BYTES.copy()
+_LOWER[65:91] = _BYTES[97:123]
+_POWERS = np.ones(1, np.uint64)
+
+
+def hashed_words(texts_: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, one after the other, and how many each text has. Words end at ASCII white
+    space; with lower, A-Z count as a-z. All bytes are hashed at once: a sum of a number for each byte by a power for its
+    place in the word, mixed with the word's length."""
+    global _POWERS
+    data = np.frombuffer(b"\n".join([*texts_, b""]), np.uint8)
+    word = ~_BLANK[data]
+    place = np.flatnonzero(word)
+    stops = np.cumsum([len(t) + 1 for t in texts_])
+    if not len(place):
+        return np.zeros(0, np.uint64), np.zeros(len(texts_), np.int64)
+    begin = np.flatnonzero(np.r_[True, np.diff(place) > 1])
+    size = np.diff(np.r_[begin, len(place)])
+    if (top := int(size.max())) > len(_POWERS):
+        _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(2 * top, 0x9E3779B97F4A7C15, np.uint64)])
+    at = np.arange(len(place)) - np.repeat(begin, size)
+    h = np.add.reduceat((_LOWER if lower else _BYTES)[data[place]] * _POWERS[at], begin) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for shift, factor in ((32, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    return h, np.bincount(np.searchsorted(stops, place[begin], side="right"), minlength=len(texts_))
+
+
 HOT = 2000  # a key is hot if it holds more than one in so many of all rows, so there are fewer hot keys than this
 HELD_EDGES = 1_000_000
 

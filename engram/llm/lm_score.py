@@ -7,7 +7,7 @@ hashed features: the word before, the word before that (a skip), and both togeth
 the same features, hashed with the class, predicts the member: its most frequent tokens are members of their own, the
 others share a few members in bands of frequency; within a band, and in the last class, a token has its share of counts.
 The features' weights learn by distributed gradient updates: in each of some rounds over growing slices of the
-documents, each partition takes adaptive steps over small batches of tokens from the shared weights, and the changes are
+documents, each learner takes adaptive steps over small batches of tokens from the shared weights, and the changes are
 averaged. Texts are scored in numpy batches that touch only the rows of features that occur.
 
 Counts of tokens beyond the most frequent ones, which no broadcast can hold, are joined to the texts by token.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_map, cut, prepare, quoted, texts, word_hashes
+from .common import arrow_map, cut, hashed_words, prepare, quoted, release, texts
 
 #: Bounds, whatever the input: counts that are broadcast, tokens with a class, classes, groups of contexts, feature rows of a kind.
 HEAD, CLASSED, CLASSES, GROUPS, ROWS, KINDS = 1 << 18, 1 << 14, 32, 16, 1 << 13, 3
@@ -39,19 +39,15 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 HELD = 200_000
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hashes of a text's tokens: words between ASCII white space, A-Z lower-cased, and the end."""
-    words = text.lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = word_hashes(words)
-    out[-1] = END
-    return out
-
-
 def _joined(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts and where each text ends."""
-    parts = [tokens(t) for t in batch]
-    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    """Tokens of all texts (words between ASCII white space, A-Z lower-cased, and an end for each), and where each text ends."""
+    h, n = hashed_words(batch, lower=True)
+    ends = np.cumsum(n + 1)
+    out = np.full(len(h) + len(n), END, np.uint64)
+    word = np.ones(len(out), bool)
+    word[ends - 1] = False
+    out[word] = h
+    return out, ends
 
 
 def _before(h: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
@@ -267,8 +263,11 @@ class Model:
 
 
 def _learned(model: Model, train: DataFrame) -> np.ndarray:
-    """The mean of the partitions' changes of all weights; each partition takes its steps over its own documents."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    """The mean of the learners' changes of all weights; each learner takes its steps over its own documents. There are two
+    for each core: what they send grows with the cluster, not with the table or with its partitions."""
+    spark = train.sparkSession
+    learners = 2 * spark.sparkContext.defaultParallelism
+    shared = spark.sparkContext.broadcast(model)
     size = model.weights.size + model.inner.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +298,8 @@ def _learned(model: Model, train: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([n], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
     kind = "at int, part int, n long, w binary"
-    change = train.mapInArrow(run, kind)
-    for few in (256, 1):  # a tree of sums, so that no task adds up the changes of all partitions
+    change = train.coalesce(learners).mapInArrow(run, kind)
+    for few in (math.isqrt(learners) + 1, 1):  # a tree of sums, so that no task adds up the changes of all learners
         change = change.groupBy("at", (F.col("part") % few).alias("few")).applyInArrow(_iterated(total), kind)
     rows = change.collect()  # of the size of the weights
     out = np.zeros(size)
@@ -308,6 +307,8 @@ def _learned(model: Model, train: DataFrame) -> np.ndarray:
         w = np.frombuffer(r.w, np.float32)
         out[r["at"] : r["at"] + len(w)] = w / r.n
     shared.destroy()
+    del change
+    release(spark)  # the shuffles of the changes
     return out.astype(np.float32)
 
 

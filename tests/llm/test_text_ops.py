@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from engram.llm import bpe, html_extract, line_dedup, lm_score, minhash, mixing, substring_dedup, toxicity
+from engram.llm.common import hashed_words
 from engram.llm.fm_index import FMIndex
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -51,6 +52,19 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def test_hashed_words():
+    """Equal words have equal hashes wherever they stand, different ones different hashes."""
+    rng = random.Random(1)
+    some = [b"", b" \n", b"one", b"x" * 5000, *["".join(rng.choice("abAB\xc3\xa9 \t\x0b.") for _ in range(rng.randrange(300))).encode("latin-1") for _ in range(400)]]
+    for lower in (False, True):
+        h, n = hashed_words(some, lower)
+        words = [(w.lower() if lower else w) for t in some for w in t.split()]
+        assert n.tolist() == [len(t.split()) for t in some] and len(h) == len(words)
+        names = dict(zip(words, h.tolist(), strict=True))
+        assert [names[w] for w in words] == h.tolist() and len(set(names.values())) == len(names)
+    assert hashed_words([])[1].tolist() == hashed_words([b""])[0].tolist() == []
+
+
 def test_line_dedup(spark, docs):
     rows = texts()
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
