@@ -30,9 +30,9 @@ from .common import arrow_map, cut, hashed_words, prepare, quoted, release, text
 HEAD, CLASSED, CLASSES, GROUPS, ROWS, KINDS = 1 << 18, 1 << 14, 32, 16, 1 << 13, 3
 #: Members of a class, those of them that are one token, feature rows of a kind for members.
 MEMBERS, SINGLE, INNER = 32, 24, 1 << 14
-#: Training: tokens of a step, step size, weights in a row that is sent, and the slices of all documents (sixteenths) of the
-#: rounds: every document is in one of them.
-STEP, RATE, SENT, ROUNDS = 16384, 0.35, 1 << 15, ((0, 1), (1, 5), (5, 16))
+#: Training: tokens of a step, step size, weights in a row that is sent, tokens of a learner, and the slices of all documents
+#: (sixteenths) of the rounds: every document is in one of them. Learners, and what they send, grow with the tokens.
+STEP, RATE, SENT, LEARNER, ROUNDS = 16384, 0.35, 1 << 15, 2_000_000, ((0, 1), (1, 5), (5, 16))
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, as a hash
 _START = np.uint64(0x14057B7EF767814F)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -262,11 +262,10 @@ class Model:
             _updated(self.inner, squares[1], g, INNER, _errors(self.inner_logits(g, cls[at]), member[at]))
 
 
-def _learned(model: Model, train: DataFrame) -> np.ndarray:
-    """The mean of the learners' changes of all weights; each learner takes its steps over its own documents. There are two
-    for each core: what they send grows with the cluster, not with the table or with its partitions."""
+def _learned(model: Model, train: DataFrame, learners: int) -> np.ndarray:
+    """The mean of the learners' changes of all weights; each learner takes its steps over its own documents, which are some
+    partitions of train."""
     spark = train.sparkSession
-    learners = 2 * spark.sparkContext.defaultParallelism
     shared = spark.sparkContext.broadcast(model)
     size = model.weights.size + model.inner.size
 
@@ -359,7 +358,7 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     model = Model(head, count, names, own, int(n), int(v))
     slice_ = F.pmod(F.xxhash64("text", F.lit("round")), F.lit(16))
     for low, high in ROUNDS if n else ():
-        change, k = _learned(model, text.where((slice_ >= low) & (slice_ < high))), model.weights.size
+        change, k = _learned(model, text.where((slice_ >= low) & (slice_ < high)), int(n * (high - low) / 16 // LEARNER) + 1), model.weights.size
         model.weights = model.weights + change[:k].reshape(model.weights.shape)
         model.inner = model.inner + change[k:].reshape(model.inner.shape)
     return model, counts
