@@ -22,8 +22,9 @@ from . import common
 from .common import cut, once, prepare, quoted
 
 #: Bounds: labelled rows of the sample (expected), buckets of words, rounds of the classifier and of the fit; the residual
-#: (share of all tokens) and the size of the projected gradient to stop at.
-SAMPLE_ROWS, BUCKETS, NEWTON, STEPS, CLOSE, FLAT = 20_000, 1024, 12, 60, 1e-9, 1e-6
+#: (share of all tokens) and the size of the projected gradient to stop at; with rates bounded above, the residual from which
+#: on a round has to take more than some share of what is left.
+SAMPLE_ROWS, BUCKETS, NEWTON, STEPS, CLOSE, FLAT, NEAR, GAIN = 20_000, 1024, 12, 30, 1e-9, 1e-6, 2e-2, 0.9
 SHAPES = ("one", "chars", "symbols", "varied", "width")
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -248,7 +249,9 @@ def fit_rates(table: DataFrame, wanted: list[float], most: float | None = None)
             best = min(range(len(tried)), key=lambda j: sum(x * x for x in ends[j]))
             if sum(x * x for x in ends[best]) < 0.8 * norm * norm:
                 break
-        if sum(x * x for x in ends[best]) >= norm * norm * (1 - 1e-9):
+        left = sum(x * x for x in ends[best]) / (norm * norm)
+        if left >= 1 - 1e-9 or most is not None and residual < NEAR and left > GAIN:  # as close as it gets, or, with a bound
+            # that the targets can't quite be met under, close enough for its pace
             break
         steps.append((r, tried[best]))
         rows = once(rows, w=_moved(w, slope_of, _along(_literal(tried[best]), k), most))
