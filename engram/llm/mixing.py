@@ -227,7 +227,7 @@ def fit_rates(table: DataFrame, wanted: list[float], most: float | None = None)
     rows = table.withColumn("w", rate([], most))
     less = lambda sums: tuple((x or 0.0) - y for x, y in zip(sums, wanted, strict=True))
     r, residual = less(rows.agg(*[F.sum(w * c) for c in a]).first()), 0.0
-    for n in range(STEPS):
+    for n in range(STEPS if most is None else 12):
         residual, norm = max(map(abs, r)) / size, math.sqrt(sum(x * x for x in r))
         if residual < CLOSE:
             break
