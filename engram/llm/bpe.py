@@ -232,16 +232,12 @@ class WordBPE:
         return out
 
 
-_loaded: dict[str, WordBPE] = {}
-
-
 def _model(shared) -> WordBPE:
-    """The tokenizer of this Python worker; it and its caches outlive a task."""
+    """The tokenizer of this Python worker; it and its caches outlive a task, until one of another operator begins."""
     key, data = shared.value
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordBPE(data)
-    return _loaded[key]
+    if common.kept.get("bpe", ("",))[0] != key:
+        common.kept["bpe"] = key, WordBPE(data)
+    return common.kept["bpe"][1]
 
 
 def _shared(spark, path: str):
@@ -277,7 +273,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dec
         return add_columns(batch, **new)
 
     kinds = {"token_ids": "array<int>", "n_tokens": "bigint"} | ({decoded: "string"} if decoded else {})
-    return arrow_map(docs, run, widened(docs, **kinds))
+    return arrow_map(docs, run, widened(docs, **kinds), "bpe")
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -289,7 +285,7 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "token_ids", o
         ids = [[i for i in x or () if i is not None] for x in batch.column(batch.schema.names.index(ids_col)).to_pylist()]
         return add_columns(batch, **{out_col: pa.array(_model(shared).decode_batch(ids), pa.string())})
 
-    return arrow_map(df, run, widened(df, **{out_col: "string"}))
+    return arrow_map(df, run, widened(df, **{out_col: "string"}), "bpe")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

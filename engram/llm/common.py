@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -78,16 +79,48 @@ def fold(of: Column, modulus: int) -> Column:
     return F.crc32(of.cast("string").cast("binary")) % modulus
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch; a dict of arrays becomes a batch, None is left out."""
+#: What operators keep in a Python worker for their next tasks, by operator.
+kept: dict[str, object] = {}
+
+
+def leave(operator: str = "", end: bool = True) -> None:
+    """A Python worker outlives its tasks, and those of all operators share it: what others than this one keep in it goes, at
+    the end of a task also the memo of words, and free memory returns to the system. A function of this module, since a nested
+    one, which is sent by value, would see copies of the module's tables."""
+    others = [k for k in kept if k != operator]
+    for k in others:
+        del kept[k]
+    if others:
+        gc.collect()
+    if end:
+        _words.clear()
+    if others or end:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+
+def as_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that finds and leaves its Python worker without what is not the operator's."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave(operator, end=False)
+        yield from run(batches)
+        leave(operator)
+
+    return task
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str, operator: str = "") -> DataFrame:
+    """mapInArrow for a function of one batch; a dict of arrays becomes a batch, None is left out. operator: whose entry in
+    kept stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
-        _words.clear()  # a worker outlives its task
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(as_task(run, operator), schema)
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -242,6 +275,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         else:
             ends = e.withColumn("above", F.lit(None).cast("long"))
         both = ends.select(F.explode(F.when(F.col("above").isNull(), F.array(end("u"), end("v"))).otherwise(F.array(end("u")))).alias("e"))
-        e = cut(both.select("e.k", "e.u", "e.v").repartition(n // 100_000 + 1, "k").mapInArrow(_contracted, "u long, v long, moved boolean"))
+        e = cut(both.select("e.k", "e.u", "e.v").repartition(n // 100_000 + 1, "k").mapInArrow(as_task(_contracted), "u long, v long, moved boolean"))
         release(spark)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct().toDF("node", "component"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import SPACE, add_columns, arrow_map, cut, longs, partitions, prepare, quoted, texts, widened
+from .common import SPACE, add_columns, arrow_map, as_task, cut, longs, partitions, prepare, quoted, texts, widened
 
 #: A line is hot if it holds more than one in so many of all lines; so there are fewer hot lines than this.
 HOT = 2000
@@ -193,7 +193,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot_first = np.array([k[0] for k in hot_of], np.int64)
     probes = arrow_map(pair, probing, "h1 long, h2 long, doc long").select(spread, "h1", "h2", "doc", F.lit(0).cast("long").alias("n"))
     dealt = arrays.unionAll(probes).repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("n") == 0)
-    gone = dealt.mapInArrow(build, "doc long, h1 long").groupBy(F.col("doc").alias(own)).agg(F.collect_set("h1").alias(cuts))  # at most the lines of a document
+    gone = dealt.mapInArrow(as_task(build), "doc long, h1 long").groupBy(F.col("doc").alias(own)).agg(F.collect_set("h1").alias(cuts))  # at most the lines of a document
     kept = docs.withColumn(own, F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(int(_NONE)))).join(gone, own, "left")
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:

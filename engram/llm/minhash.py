@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_map, connected_components, cut, prepare, quoted, word_hashes
+from .common import arrow_map, as_task, connected_components, cut, prepare, quoted, word_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 25, 4, 512
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = cut(mixed.select("k", "node", "component", "blocks", "block"))
     dealt = mixed.join(sets, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "component", "units")
     dealt = dealt.repartition(common.partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
-    more = connected_components(dealt.mapInArrow(_searched(similarity), "a long, b long"))
+    more = connected_components(dealt.mapInArrow(as_task(_searched(similarity)), "a long, b long"))
     classes = reps.select("node", "copy_of").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     classes = classes.join(more.select(F.col("node").alias("part"), F.col("component").alias("whole")), "part", "left").select("node", "copy_of", F.coalesce("whole", "part").alias("whole"))
     least = classes.groupBy("whole").agg(F.min("copy_of").alias("component"), F.count(F.lit(1)).alias("m")).where("m > 1").select("whole", "component")

@@ -1,5 +1,6 @@
 """The text operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import gc
 import hashlib
 import math
 import random
@@ -7,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from engram.llm import bpe, html_extract, line_dedup, lm_score, minhash, mixing, substring_dedup, toxicity
+from engram.llm import bpe, common, html_extract, line_dedup, lm_score, minhash, mixing, substring_dedup, toxicity
 from engram.llm.common import hashed_words
 from engram.llm.fm_index import FMIndex
 
@@ -273,6 +275,22 @@ def test_bpe_frames(spark, docs):
     assert again == 0 and bpe.encode(empty(spark)).count() == 0
 
 
+def test_workers_are_left_empty(spark, docs):
+    """Python workers, which the tasks of all operators share, hold neither another operator's tokenizer nor a memo of words."""
+
+    def held(batches):
+        for _ in batches:
+            pass
+        models = sum(type(x).__name__ == "WordBPE" for x in gc.get_objects())
+        yield pa.RecordBatch.from_pydict({"models": pa.array([models]), "words": pa.array([len(common._words)])})
+
+    look = lambda: spark.range(0, 64, 1, 16).mapInArrow(held, "models long, words long").agg(F.sum("models").alias("models"), F.sum("words").alias("words")).first()
+    bpe.encode(docs).write.format("noop").mode("overwrite").save()
+    assert look().models > 0  # they stay for the operator's next task
+    minhash.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    assert tuple(look()) == (0, 0)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["vile", "rotten", "zakba", "zakbi"]
