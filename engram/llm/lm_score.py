@@ -36,7 +36,8 @@ STEP, RATE, SENT, LEARNER, ROUNDS = 16384, 0.35, 1 << 15, 2_000_000, ((0, 1), (1
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, as a hash
 _START = np.uint64(0x14057B7EF767814F)
 _M = np.uint64(0x9E3779B97F4A7C15)
-HELD = 200_000
+_FIRST = np.uint64(64 - HEAD.bit_length() + 1)  # bits of a hash after those that stand for its beginning
+HELD, MANY = 200_000, 8
 
 
 def _joined(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,32 +80,72 @@ def inner_features(c: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
     return [(((x ^ salt) * _M) >> top).astype(np.uint16) for x in c]
 
 
+def _sums(x: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, times, sum of x) for each number in f. Rows of x that share a number are added one after the other, for all numbers
+    at once; numbers with many rows, which are few, each for itself."""
+    order = np.argsort(f, kind="stable")
+    g = f[order]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    times = np.diff(np.r_[first, len(g)])
+    by = np.argsort(times, kind="stable")
+    first, times = first[by], times[by]
+    few = int(np.searchsorted(times, MANY, side="right"))
+    out = np.take(x, order[first], 0)
+    for j in range(1, MANY):
+        at = int(np.searchsorted(times[:few], j, side="right"))
+        if at == few:
+            break
+        out[at:few] += np.take(x, order[first[at:few] + j], 0)
+    for i in range(few, len(first)):
+        out[i] = np.take(x, order[first[i] : first[i] + times[i]], 0).sum(axis=0, dtype=np.float64)
+    return g[first].astype(np.intp), times, out
+
+
 def _updated(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], width: int, x: np.ndarray) -> None:
     """A step along x, the gradient by the logits of each token: rows that occur, scaled by their past squares."""
     for k, f in enumerate(rows):
-        order = np.argsort(f, kind="stable")
-        f = f[order]
-        first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        grad = np.add.reduceat(x[order], first, axis=0)
-        grad /= np.sqrt(np.diff(np.r_[first, len(f)]))[:, None].astype(np.float32)
-        at = f[first].astype(np.int32) + k * width
-        squares[at] += grad * grad
-        weights[at] += RATE * grad / np.sqrt(squares[at] + 1)
+        at, times, grad = _sums(x, f)
+        grad /= np.sqrt(times).astype(np.float32)[:, None]
+        at += k * width
+        past = np.take(squares, at, 0)
+        past += grad * grad
+        squares[at] = past
+        past += 1
+        grad *= np.float32(RATE)
+        grad /= np.sqrt(past, out=past)
+        grad += np.take(weights, at, 0)
+        weights[at] = grad
+
+
+def _top(x: np.ndarray) -> np.ndarray:
+    """What is taken off each row of logits before they go through exp: the largest of all where no row vanishes by that, else
+    the largest of each row."""
+    most = x.max()
+    return np.full((len(x), 1), most) if most - x.min() < 80 else x.max(axis=1)[:, None]
 
 
 def _errors(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The gradient of the log probability of outcome `of` by logits x, which it replaces."""
-    x -= x.max(axis=1)[:, None]
+    x -= _top(x)
     np.exp(x, out=x)
-    x /= -x.sum(axis=1)[:, None]
+    x /= -np.einsum("ij->i", x)[:, None]
     x[np.arange(len(x)), of] += 1
     return x
 
 
 def _logs(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax of logits x at outcome `of`."""
-    top = x.max(axis=1)
-    return x[np.arange(len(x)), of] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """Natural log of the softmax of logits x, which it replaces, at outcome `of`."""
+    x -= _top(x)
+    out = x[np.arange(len(x)), of]
+    return out - np.log(np.einsum("ij->i", np.exp(x, out=x)))
+
+
+def _summed(table: np.ndarray, rows: list[np.ndarray], width: int) -> np.ndarray:
+    """The sum of a row of each kind; table: width rows of a kind, one kind after the other."""
+    x = np.take(table, rows[0].astype(np.intp), 0)
+    for k in range(1, KINDS):
+        x += np.take(table, rows[k].astype(np.intp) + k * width, 0)
+    return x
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +224,7 @@ class Model:
     def __init__(self, head: np.ndarray, count: np.ndarray, classed: np.ndarray, own: np.ndarray, n: int, v: int):
         """head: sorted hashes; classed: those with a class, own: their classes; n, v: all training tokens and different ones."""
         self.head, self.count, self.n, self.v = head, count, n, v
+        self.begin = np.searchsorted(head, np.arange(HEAD, dtype=np.uint64) << _FIRST)
         k = int(own.max()) + 1 if len(own) else 0
         self.rest = k
         self.cls = np.full(len(head) + 1, k, np.int32)
@@ -214,24 +256,25 @@ class Model:
         self.inner = np.zeros((KINDS * INNER, MEMBERS), np.float32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Places in head; len(head) where a token is not there."""
+        """Places in head; len(head) where a token is not there. A token's first bits tell where its search begins; hashes are
+        spread evenly, so that few steps follow."""
         if not len(self.head):
             return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, at, len(self.head))
+        at, last = self.begin[(h >> _FIRST).astype(np.intp)], len(self.head) - 1
+        go = np.flatnonzero(self.head[np.minimum(at, last)] < h)
+        while len(go):
+            at[go] += 1
+            go = go[(at[go] <= last) & (self.head[np.minimum(at[go], last)] < h[go])]
+        return np.where(self.head[np.minimum(at, last)] == h, at, last + 1)
 
     def logits(self, f: list[np.ndarray]) -> np.ndarray:
-        x = self.weights[f[0].astype(np.int32)]
-        for k in range(1, KINDS):
-            x += self.weights[f[k].astype(np.int32) + k * ROWS]
+        x = _summed(self.weights, f, ROWS)
         x += self.bias
         return x
 
     def inner_logits(self, f: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        x = self.inner[f[0].astype(np.int32)]
-        for k in range(1, KINDS):
-            x += self.inner[f[k].astype(np.int32) + k * INNER]
-        x += self.inner_bias[cls]
+        x = _summed(self.inner, f, INNER)
+        x += np.take(self.inner_bias, cls, 0)
         return x
 
     def class_scores(self, c: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
