@@ -226,7 +226,7 @@ def fit_rates(table: DataFrame, wanted: list[float], most: float | None = None)
     long = F.sqrt(reduce(lambda x, y: x + y, [c * c for c in a]))
     rows = table.withColumn("w", rate([], most))
     less = lambda sums: tuple((x or 0.0) - y for x, y in zip(sums, wanted, strict=True))
-    r, residual = less(rows.agg(*[F.sum(w * c) for c in a]).first()), 0.0
+    r = less(rows.agg(*[F.sum(w * c) for c in a]).first())
     for n in range(STEPS if most is None else 12):
         residual, norm = max(map(abs, r)) / size, math.sqrt(sum(x * x for x in r))
         if residual < CLOSE:
@@ -258,7 +258,7 @@ def fit_rates(table: DataFrame, wanted: list[float], most: float | None = None)
         if n % 4 == 3:
             rows = cut(rows)
         r = ends[best]
-    return steps, residual
+    return steps, max(map(abs, r)) / size  # of the last step, also where the rounds ran out
 
 
 def resample(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
