@@ -175,13 +175,16 @@ def explained(hits: DataFrame) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in names.items()], *[F.col(c).alias(n) for n, c in take.items() if c in have]))
 
 
-def count(records: DataFrame, params: SearchParams) -> DataFrame:
-    """(n, capped): visible rows of a filter; reads without tags see at most scan_cap rows."""
+def count(records: DataFrame, params: SearchParams, whole: bool = False) -> DataFrame:
+    """(n, capped): visible rows of a filter; reads without tags see at most scan_cap rows. With whole, n is of all rows, and
+    capped tells that a read would not see them all."""
     p = params
     if p.tags:
         return records.where(p.predicate()).agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("capped"))
     seen = records.where(~F.col("deleted"))
     if p.start is not None and p.end is not None:
         seen = seen.where(F.col("created").between(p.start, p.end))
+    if whole:
+        return seen.agg(F.count_if(p.predicate()).alias("n"), (F.count(F.lit(1)) > p.scan_cap).alias("capped"))
     total = seen.agg((F.count(F.lit(1)) > p.scan_cap).alias("capped"))
     return capped(seen, p.scan_cap).where(p.predicate()).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
