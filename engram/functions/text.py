@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ def tokens(text: Column) -> Column:
 
 _RUNS, _PARTS, _ASCII = re.compile("[A-Za-z0-9_\\-.:/+#\x80-\U0010ffff]+"), re.compile(r"[_\-.:/+#]+"), str.maketrans(UPPER, LOWER)
 _memo: dict[str, tuple[str, ...]] = {}
+#: Bounds of what a worker holds: runs in the memo and their characters, bytes of a batch and of the texts cut at once.
+MEMO, MEMO_CHARS, BATCH_BYTES, PIECE_BYTES = 32_768, 64, 4 << 20, 1 << 20
 
 
 def _of_run(run: str) -> tuple[str, ...]:
@@ -62,36 +66,56 @@ def _of_run(run: str) -> tuple[str, ...]:
     return (t, *(p for p in _PARTS.split(t) if 2 <= len(p.encode("utf-8", "replace")) < size)) if _PARTS.search(t) else (t,)
 
 
-def terms(text: str) -> list[str]:
-    """What `tokens` gives, for use within an Arrow batch; runs go through a memo of bounded size."""
-    out: list[str] = []
-    for run in _RUNS.findall(text):
-        if (t := _memo.get(run)) is None:
-            if len(_memo) >= 100_000:
+def _known(run: str) -> tuple[str, ...]:
+    """_of_run through a memo of bounded size."""
+    if (t := _memo.get(run)) is None:
+        t = _of_run(run)
+        if len(run) <= MEMO_CHARS:
+            if len(_memo) >= MEMO:
                 _memo.clear()
-            t = _memo[run] = _of_run(run)
-        out += t
+            _memo[run] = t
+    return t
+
+
+def terms(text: str) -> list[str]:
+    """What `tokens` gives, for use within an Arrow batch."""
+    return [t for run in _RUNS.findall(text) for t in _known(run)]
+
+
+def term_counts(text: str) -> dict[str, int]:
+    """The terms of a text with their numbers; each different run is looked at once."""
+    out: dict[str, int] = {}
+    for run, n in Counter(_RUNS.findall(text)).items():
+        for t in _known(run):
+            out[t] = out.get(t, 0) + n
     return out
 
 
 def bounded(documents: DataFrame) -> DataFrame:
     """documents, with Arrow batches that long texts do not make large."""
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return documents
 
 
-def token_rows(documents: DataFrame, text: str = "data") -> DataFrame:
-    """(id, t): each document's terms with repetitions, cut once in Arrow batches: the same rules as `tokens`, whose nested
-    lambdas are interpreted for each character run."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts (null: empty) of batches (id, text), of some PIECE_BYTES or one text at a time, whatever a batch holds."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(size // PIECE_BYTES)) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if j > i:
+                yield b.column(0).slice(i, j - i).to_pylist(), [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
+
+
+def lengths(documents: DataFrame, text: str = "data") -> DataFrame:
+    """(id, dl): the number of each document's terms, with repetitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [terms(t or "") for t in b.column(1).to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "t": pa.ListArray.from_arrays(offsets, pa.array([x for f in found for x in f], pa.string()))})
+        for ids, texts in pieces(batches):
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "dl": pa.array([sum(len(_known(r)) for r in _RUNS.findall(t)) for t in texts], pa.int64())})
 
     rows = bounded(documents).select(F.col("id").cast("long").alias("id"), F.col(text).cast("string").alias("data"))
-    return rows.mapInArrow(run, "id long, t array<string>")
+    return rows.mapInArrow(run, "id long, dl long")
 
 
 def query_terms(query: str) -> list[str]:

@@ -7,7 +7,6 @@ documents. Nothing is rewritten until compact()."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-BUCKETS = 64
+#: Folders of terms, and the folder of the rows that hold documents' lengths.
+BUCKETS, LENGTHS = 64, -1
 _KINDS = {"postings": "id long, term string, tf long, dl long, gen int, bucket int", "dead": "id long, gen int", "lengths": "id long, dl long, gen int", "sums": "n long, total long, gen int"}
 
 
@@ -24,19 +24,23 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def counted(documents: DataFrame, text: str = "data") -> DataFrame:
-    """(id, term, tf, dl): each document's terms, counted within its own Arrow batch."""
+def counted(documents: DataFrame, text: str = "data", lengths: bool = False) -> DataFrame:
+    """(id, term, tf, dl): each document's terms, counted within a piece of an Arrow batch. With lengths, a row of no term too
+    for each document that has terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for part in X.pieces(batches):
             ids, names, times, size = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                some = X.terms(t or "")
-                c = Counter(some)
-                ids += [i] * len(c)
+            for i, t in zip(*part, strict=True):
+                c = X.term_counts(t)
+                dl = sum(c.values())
+                if lengths and dl:
+                    names.append(None)
+                    times.append(0)
                 names += c.keys()
                 times += c.values()
-                size += [len(some)] * len(c)
+                ids += [i] * (len(names) - len(ids))
+                size += [dl] * (len(names) - len(size))
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "term": pa.array(names, pa.string()), "tf": pa.array(times, pa.int64()), "dl": pa.array(size, pa.int64())})
 
     return X.bounded(documents).select(F.col("id").cast("long").alias("id"), F.col(text).cast("string").alias("data")).mapInArrow(run, "id long, term string, tf long, dl long")
@@ -65,10 +69,15 @@ class Lexicon:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _write(self, documents: DataFrame, gen: int, text: str) -> None:
-        rows = counted(documents, text).withColumns({"gen": F.lit(gen), "bucket": bucket_of(F.col("term"))})
-        rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        mine = self._read("postings").where(F.col("gen") == gen)
-        mine.groupBy("id").agg(F.max("dl").alias("dl")).withColumn("gen", F.lit(gen)).select("id", "dl", "gen").write.mode("append").parquet(f"{self.path}/lengths")
+        rows = counted(documents, text, lengths=True).withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket_of(F.col("term"))))
+        self._sorted(rows, gen, self.path)
+        self._read("postings").where((F.col("bucket") == LENGTHS) & (F.col("gen") == gen)).select("id", "dl", "gen").write.mode("append").parquet(f"{self.path}/lengths")
+
+    @staticmethod
+    def _sorted(rows: DataFrame, gen: int, path: str) -> None:
+        """Appends (id, term, tf, dl, bucket). A folder gets as many files as it has parts of Spark's advisory size, each sorted:
+        what a task sorts does not grow with the table."""
+        rows.select("id", "term", "tf", "dl", "bucket").hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "id").withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
 
     def _sum(self, gen: int, gone: DataFrame | None) -> None:
         more = self._read("lengths").where(F.col("gen") == gen).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
@@ -92,7 +101,7 @@ class Lexicon:
     def compact(self, path: str) -> Lexicon:
         """The live rows alone, as a new index at another path."""
         new = Lexicon(self.spark, path)
-        self.postings().withColumn("gen", F.lit(0)).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._sorted(self._live(self._read("postings")), 0, path)
         self._live(self._read("lengths")).withColumn("gen", F.lit(0)).write.parquet(f"{path}/lengths")
         new._sum(0, None)
         return new
@@ -105,7 +114,7 @@ class Lexicon:
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """(id, term, tf, dl, gen, bucket) of live images: all, or of some terms, for which only their folders are read."""
-        rows = self._read("postings")
+        rows = self._read("postings").where(F.col("bucket") != LENGTHS)
         if terms is not None:
             buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()]
             rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))

@@ -6,7 +6,6 @@ numbered, so no window sorts the whole table. BM25 reads a stored index (see lex
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -84,13 +83,13 @@ def lexical(documents: DataFrame, query: str, text: str = "data", index: Lexicon
         return documents.sparkSession.createDataFrame([], "id long, bm25 double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for part in X.pieces(batches):
             ids, size, tfs = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if c := Counter(X.terms(t or "")):
+            for i, t in zip(*part, strict=True):
+                if c := X.term_counts(t):
                     ids.append(i)
-                    size.append(c.total())
-                    tfs.append([c[q] for q in terms])
+                    size.append(sum(c.values()))
+                    tfs.append([c.get(q, 0) for q in terms])
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "dl": pa.array(size, pa.int64()), "tfs": pa.array(tfs, pa.list_(pa.int64()))})
 
     rows = X.bounded(documents).select(F.col("id").cast("long").alias("id"), F.col(text).cast("string").alias("data"))
