@@ -135,7 +135,7 @@ def _nearest(xid: np.ndarray, x: np.ndarray, xcodes: np.ndarray | None, qid: np.
     same = lambda m: np.unique(np.ascontiguousarray(m).view(f"V{8 * dim}").ravel(), return_index=True, return_inverse=True)[1:] if dim else (np.array([0]), np.zeros(len(m), int))
     _, copy = same(x)
     order = np.lexsort((xid, copy))
-    held = order[_place(copy[order]) < k]  # of copies that the order by id cuts
+    held = order[place(copy[order]) < k]  # of copies that the order by id cuts
     x, xid, xcodes = x[held], xid[held], None if xcodes is None else xcodes[held]
     once, which = same(q)
     q, qcodes = q[once], None if qcodes is None else qcodes[once]
@@ -174,9 +174,9 @@ def _nearest(xid: np.ndarray, x: np.ndarray, xcodes: np.ndarray | None, qid: np.
             good = ~np.isnan(s)
             pi, pj, ps = np.concatenate([pi, i[good]]), np.concatenate([pj, j[good]]), np.concatenate([ps, rounded(s[good])])
             order = np.lexsort((xid[pj], -ps, pi))
-            order = order[_place(pi[order]) < k]
+            order = order[place(pi[order]) < k]
             pi, pj, ps = pi[order], pj[order], ps[order]
-            last = np.flatnonzero(_place(pi) == k - 1)
+            last = np.flatnonzero(place(pi) == k - 1)
             least[pi[last]] = ps[last]
         got_i.append(pi + a)
         got_j.append(pj)
@@ -184,11 +184,11 @@ def _nearest(xid: np.ndarray, x: np.ndarray, xcodes: np.ndarray | None, qid: np.
     gi, gj, gs = np.concatenate(got_i), np.concatenate(got_j), np.concatenate(got_s)
     start, times = np.searchsorted(gi, np.arange(len(q))), np.bincount(gi, minlength=len(q))
     of = np.repeat(np.arange(len(qid)), times[which])
-    at = np.repeat(start[which], times[which]) + _place(of)
+    at = np.repeat(start[which], times[which]) + place(of)
     yield qid[of], xid[gj[at]], gs[at]
 
 
-def _place(groups: np.ndarray) -> np.ndarray:
+def place(groups: np.ndarray) -> np.ndarray:
     """The place of each row within its group; rows of a group lie together."""
     n = np.arange(len(groups))
     new = np.r_[True, groups[1:] != groups[:-1]][: len(groups)]
