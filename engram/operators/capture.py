@@ -8,9 +8,13 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import text as X
 from ..schema import TAGS_MAX
 
+#: Of superseded(): facts of each side of a cell, characters of a prefix that is a key, pairs and cells of a task.
+SIDE, PREFIX, PAIRS, CELLS = 512, 64, 4_000_000, 200_000
+
 
 def sentence_rows(texts: DataFrame, *keys: str) -> DataFrame:
     """A row for each sentence unit with its place."""
@@ -39,14 +43,37 @@ def facts(texts: DataFrame, key: str, order: str, limit: int = 12) -> DataFrame:
 def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
     """(new_id, old_id): old facts that begin with the first two words of a new one and differ from it.
 
-    new, old: (id, text). The join is on the first word; the second is compared after it."""
-    n = new.select(F.col("id").alias("new_id"), F.lower(F.trim("text")).alias("nf")).withColumn("subject", F.concat_ws(" ", F.slice(F.split("nf", r"\s+"), 1, 2))).where("subject != ''")
-    o = old.select(F.col("id").alias("old_id"), F.lower(F.trim("text")).alias("cl"))
-    # an old text that starts with the subject has its first word, unless the subject is one word alone
-    first = lambda c: F.element_at(F.split(c, " "), 1)
-    two = n.where(F.contains("subject", F.lit(" "))).withColumn("k", first("subject")).join(o.withColumn("k", first("cl")), "k").drop("k")
-    one = n.where(~F.contains("subject", F.lit(" "))).withColumn("k", F.substring("subject", 1, 1)).join(o.withColumn("k", F.substring("cl", 1, 1)), "k").drop("k")
-    return two.unionAll(one).where(F.startswith("cl", F.col("subject")) & (F.col("cl") != F.col("nf"))).select("new_id", "old_id")
+    new, old: (id, text). Different subjects of new facts meet different heads of old ones, by all their words but the last
+    and a prefix of that. What is then listed are pairs by their meaning, as many as a subject's new facts times its old ones:
+    they are dealt out in cells of about SIDE by SIDE. Facts are held as digests, texts leave the first stage as these."""
+    low, digest = F.lower(F.trim("text")), lambda c: F.unhex(F.sha2(c, 256))
+    n = new.select(F.col("id").alias("new_id"), low.alias("nf")).select("new_id", F.concat_ws(" ", F.slice(F.split("nf", r"\s+", 3), 1, 2)).alias("subject"), digest("nf").alias("nd"))
+    o = old.select(F.col("id").alias("old_id"), low.alias("cl")).select("old_id", F.regexp_extract("cl", r"^\S* ?\S*", 0).alias("head"), digest("cl").alias("od"))
+    n, o = cut(n.where("subject != ''")), cut(o.where("head != ''"))
+    blocks = F.ceil(F.col("count") / SIDE).cast("int")
+    ns, os = n.groupBy("subject").count().withColumn("bn", blocks).withColumnRenamed("count", "cn"), o.groupBy("head").count().withColumn("bo", blocks).withColumnRenamed("count", "co")
+
+    # a subject of two words has its first one whole in a head, one of a single word is the beginning of a head's first word
+    two = lambda c: F.contains(c, F.lit(" "))
+    first = lambda c: F.substring_index(c, " ", 1)
+    rest = lambda c: F.substring(c, F.length(first(c)) + 2, F.length(c))
+    begun = lambda c, least: F.transform(F.sequence(F.lit(least), F.least(F.length(c), F.lit(PREFIX))), lambda i: F.substring(c, F.lit(1), i))
+    word = F.col("head")
+    asked = ns.select("*", F.when(two(F.col("subject")), F.xxhash64(first(F.col("subject")))).otherwise(0).alias("k1"), two(F.col("subject")).alias("k2"), F.substring(F.when(two(F.col("subject")), rest(F.col("subject"))).otherwise(F.col("subject")), 1, PREFIX).alias("k3"))
+    with_two = os.where(two(word)).select("*", F.xxhash64(first(word)).alias("k1"), F.lit(True).alias("k2"), F.explode(begun(rest(word), 0)).alias("k3"))
+    with_one = os.where(first(word) != "").select("*", F.lit(0).cast("long").alias("k1"), F.lit(False).alias("k2"), F.explode(begun(first(word), 1)).alias("k3"))
+    met = with_two.unionAll(with_one).join(asked, ["k1", "k2", "k3"]).where(F.startswith("head", F.col("subject")))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cells = met.select("subject", "head", "bo", (F.col("cn") * F.col("co") / F.col("bn") / F.col("bo")).alias("pairs"), each("bn").alias("i")).select("subject", "head", "i", "pairs", each("bo").alias("j"))
+    cells = cut(cells.withColumn("cell", F.monotonically_increasing_id()))
+
+    size = cells.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()
+    parts = min(max(new.sparkSession.sparkContext.defaultParallelism, int(size.pairs) // PAIRS + size.n // CELLS + 1), 10_000)
+    news = n.join(ns, "subject").select("subject", F.pmod(F.xxhash64("new_id"), "bn").cast("int").alias("i"), "new_id", "nd")
+    olds = o.join(os, "head").select("head", F.pmod(F.xxhash64("old_id"), "bo").cast("int").alias("j"), "old_id", "od")
+    left = cells.select("cell", "subject", "i").join(news, ["subject", "i"]).select("cell", "new_id", "nd").repartition(parts, "cell")
+    right = cells.select("cell", "head", "j").join(olds, ["head", "j"]).select("cell", "old_id", "od").repartition(parts, "cell")
+    return left.join(right, "cell").where("nd != od").select("new_id", "old_id")
 
 
 def summary_clusters(records: DataFrame, now: int, group: str = "agent_id", max_importance: float = 0.6, min_age: int = 604_800_000, least: int = 3, most: int = 20, runs: int = 20) -> DataFrame:
