@@ -70,7 +70,7 @@ def _cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     equal one at an equal place. Vectors of other lengths, with nulls or with components that are not finite meet nothing."""
     if "key" not in vectors.columns:
         vectors, queries = vectors.withColumn("key", F.lit(0)), queries.withColumn("key", F.lit(0))
-    more = ["codes"] if "codes" in vectors.columns else []
+    kept = [F.col(c).alias(c) for c in ("key", "vec", "codes") if c in vectors.columns]  # by new names, as both sides may be of one table
     sizes = lambda df: df.groupBy("key").count().agg(F.count(F.lit(1)), F.coalesce(F.max("count"), F.lit(0))).first()
     (keys, v), (_, q) = sizes(vectors), sizes(queries)
     cores = vectors.sparkSession.sparkContext.defaultParallelism
@@ -78,8 +78,8 @@ def _cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     cells, at = min(max(cores, keys * nv * nq), 10_000), ["key", "vb", "qb"]
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c, "vec"), F.lit(n)).cast("int")
-    base = vectors.select("key", F.col("id").cast("long").alias("id"), "vec", *more, block("id", nv).alias("vb"), each(nq).alias("qb"))
-    asked = queries.select("key", F.col("query_id").cast("long").alias("id"), "vec", *more, each(nv).alias("vb"), block("query_id", nq).alias("qb"))
+    base = vectors.select(F.col("id").cast("long").alias("id"), *kept, block("id", nv).alias("vb"), each(nq).alias("qb"))
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), *kept, each(nv).alias("vb"), block("query_id", nq).alias("qb"))
     pairs = base.repartition(cells, *at).groupBy(*at).cogroup(asked.repartition(cells, *at).groupBy(*at))
     return pairs.applyInArrow(_cell(k), "query_id long, id long, sim double")
 

@@ -51,7 +51,7 @@ def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
     o = old.select(F.col("id").alias("old_id"), low.alias("cl")).select("old_id", F.regexp_extract("cl", r"^\S* ?\S*", 0).alias("head"), digest("cl").alias("od"))
     n, o = cut(n.where("subject != ''")), cut(o.where("head != ''"))
     blocks = F.ceil(F.col("count") / SIDE).cast("int")
-    ns, os = n.groupBy("subject").count().withColumn("bn", blocks).withColumnRenamed("count", "cn"), o.groupBy("head").count().withColumn("bo", blocks).withColumnRenamed("count", "co")
+    subjects, heads = n.groupBy("subject").count().withColumn("bn", blocks).withColumnRenamed("count", "cn"), o.groupBy("head").count().withColumn("bo", blocks).withColumnRenamed("count", "co")
 
     # a subject of two words has its first one whole in a head, one of a single word is the beginning of a head's first word
     two = lambda c: F.contains(c, F.lit(" "))
@@ -59,9 +59,9 @@ def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
     rest = lambda c: F.substring(c, F.length(first(c)) + 2, F.length(c))
     begun = lambda c, least: F.transform(F.sequence(F.lit(least), F.least(F.length(c), F.lit(PREFIX))), lambda i: F.substring(c, F.lit(1), i))
     word = F.col("head")
-    asked = ns.select("*", F.when(two(F.col("subject")), F.xxhash64(first(F.col("subject")))).otherwise(0).alias("k1"), two(F.col("subject")).alias("k2"), F.substring(F.when(two(F.col("subject")), rest(F.col("subject"))).otherwise(F.col("subject")), 1, PREFIX).alias("k3"))
-    with_two = os.where(two(word)).select("*", F.xxhash64(first(word)).alias("k1"), F.lit(True).alias("k2"), F.explode(begun(rest(word), 0)).alias("k3"))
-    with_one = os.where(first(word) != "").select("*", F.lit(0).cast("long").alias("k1"), F.lit(False).alias("k2"), F.explode(begun(first(word), 1)).alias("k3"))
+    asked = subjects.select("*", F.when(two(F.col("subject")), F.xxhash64(first(F.col("subject")))).otherwise(0).alias("k1"), two(F.col("subject")).alias("k2"), F.substring(F.when(two(F.col("subject")), rest(F.col("subject"))).otherwise(F.col("subject")), 1, PREFIX).alias("k3"))
+    with_two = heads.where(two(word)).select("*", F.xxhash64(first(word)).alias("k1"), F.lit(True).alias("k2"), F.explode(begun(rest(word), 0)).alias("k3"))
+    with_one = heads.where(first(word) != "").select("*", F.lit(0).cast("long").alias("k1"), F.lit(False).alias("k2"), F.explode(begun(first(word), 1)).alias("k3"))
     met = with_two.unionAll(with_one).join(asked, ["k1", "k2", "k3"]).where(F.startswith("head", F.col("subject")))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cells = met.select("subject", "head", "bo", (F.col("cn") * F.col("co") / F.col("bn") / F.col("bo")).alias("pairs"), each("bn").alias("i")).select("subject", "head", "i", "pairs", each("bo").alias("j"))
@@ -69,8 +69,8 @@ def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
 
     size = cells.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()
     parts = min(max(new.sparkSession.sparkContext.defaultParallelism, int(size.pairs) // PAIRS + size.n // CELLS + 1), 10_000)
-    news = n.join(ns, "subject").select("subject", F.pmod(F.xxhash64("new_id"), "bn").cast("int").alias("i"), "new_id", "nd")
-    olds = o.join(os, "head").select("head", F.pmod(F.xxhash64("old_id"), "bo").cast("int").alias("j"), "old_id", "od")
+    news = n.join(subjects, "subject").select("subject", F.pmod(F.xxhash64("new_id"), "bn").cast("int").alias("i"), "new_id", "nd")
+    olds = o.join(heads, "head").select("head", F.pmod(F.xxhash64("old_id"), "bo").cast("int").alias("j"), "old_id", "od")
     left = cells.select("cell", "subject", "i").join(news, ["subject", "i"]).select("cell", "new_id", "nd").repartition(parts, "cell")
     right = cells.select("cell", "head", "j").join(olds, ["head", "j"]).select("cell", "old_id", "od").repartition(parts, "cell")
     return left.join(right, "cell").where("nd != od").select("new_id", "old_id")

@@ -176,3 +176,13 @@ def test_superseded_in_cells(spark, monkeypatch):
     tasks = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert sorted(map(tuple, got.collect())) == want
     assert max(r["count"] for r in tasks) < len(want) / 8
+
+
+def test_cells_of_one_table(spark):
+    """Queries and vectors of one derived table, joined with it again."""
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "k long, e array<double>")
+    v = spark.range(30).withColumn("k", F.col("id") % 5).join(few, "k").select("id", F.col("e").alias("vec"))
+    got = approximate.exact_topk(v, v.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vec"), 3).join(v, "id").select("query_id", "rank", "id", "vec")
+    assert got.count() == 9
